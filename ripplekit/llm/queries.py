@@ -5,8 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash
-from .common import table
+from . import language, mixing, packing, quality_rules, search, sharding, simhash
+from .common import id_bucket, table
+
+
+def op3_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
+
+
+def op5_segmentation_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_bucket("doc_id", 3) == 1
+    model = language.train(docs.where(~held_out))
+    return language.identify(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
+
+
+def op6_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +43,7 @@ def op10_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op7_virtual_slots, op9_fair_queue_mix, op10_simhash_balls)}
+QUERIES = {f.__name__: f for f in (op3_branch_and_bound, op4_hilbert_packing, op5_segmentation_language, op6_boosted_rules, op7_virtual_slots, op9_fair_queue_mix, op10_simhash_balls)}
 
 ORACLE_SQL = {
     "op9_fair_queue_mix": r"""
