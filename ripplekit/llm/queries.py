@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, quality_rules, search, sharding, simhash
+from . import language, mixing, packing, quality_rules, quality_vote, search, sharding, simhash
 from .common import id_bucket, table
 
 
+def op1_latent_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = id_bucket("doc_id", 5) == 0
+    model = quality_vote.train(docs, labels, ~held_out)
+    return quality_vote.vote(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
+
+
 def op3_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -43,7 +50,7 @@ def op10_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_branch_and_bound, op4_hilbert_packing, op5_segmentation_language, op6_boosted_rules, op7_virtual_slots, op9_fair_queue_mix, op10_simhash_balls)}
+QUERIES = {f.__name__: f for f in (op1_latent_vote, op3_branch_and_bound, op4_hilbert_packing, op5_segmentation_language, op6_boosted_rules, op7_virtual_slots, op9_fair_queue_mix, op10_simhash_balls)}
 
 ORACLE_SQL = {
     "op9_fair_queue_mix": r"""

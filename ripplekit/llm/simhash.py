@@ -194,5 +194,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out_hot.unionByName(marked.where("not _found").select(id_col, "fp").join(cold, "fp").select(id_col, "fp", "component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id names its group: one document of each group.
+
+    Only ids and fingerprints are compared and joined; each text is shuffled once. Rows that repeat
+    an id are one document.
+    """
+    groups_ = store(near_duplicates(docs).select("doc_id", "component_id"), "near-duplicates")
+    kept = groups_.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    repeated = kept.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    ids = kept.select(F.col("doc_id").alias("_kept")).distinct()
+    out = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return out.dropDuplicates(["doc_id"]) if repeated else out
+
+
 def hex_fingerprint(col: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(col)), 16, "0"))
