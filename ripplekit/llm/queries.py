@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, quality_rules, quality_vote, search, sharding, simhash
+from . import language, licenses, mixing, packing, quality_rules, quality_vote, search, sharding, simhash
 from .common import id_bucket, table
 
 
@@ -41,6 +41,10 @@ def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op8_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -50,9 +54,25 @@ def op10_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_latent_vote, op3_branch_and_bound, op4_hilbert_packing, op5_segmentation_language, op6_boosted_rules, op7_virtual_slots, op9_fair_queue_mix, op10_simhash_balls)}
+QUERIES = {f.__name__: f for f in (op1_latent_vote, op3_branch_and_bound, op4_hilbert_packing, op5_segmentation_language, op6_boosted_rules, op7_virtual_slots, op8_license_windows, op9_fair_queue_mix, op10_simhash_balls)}
+
+#: Templates as rows of a DuckDB table: number, license, words.
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{name}', {licenses.template_words(text)!r})" for i, (name, text) in enumerate(licenses.TEMPLATES))
 
 ORACLE_SQL = {
+    "op8_license_windows": f"""
+WITH t AS (
+  SELECT *, least(5, len(words)) AS width, len(words) - least(5, len(words)) + 1 AS span FROM (VALUES {_TEMPLATE_ROWS}) v(template, license, words)),
+s AS (SELECT DISTINCT template, license, width, span, array_to_string(words[i:i + width - 1], ' ') AS shingle FROM t, range(1, span + 1) r(i)),
+k AS (SELECT template, count(*) AS all_of_it FROM s GROUP BY template),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS words FROM documents),
+p AS (SELECT doc_id, width, i - 1 AS pos, array_to_string(words[i:i + width - 1], ' ') AS shingle
+      FROM d, (SELECT DISTINCT width FROM t), range(1, greatest(len(words) - width + 2, 1)) r(i)),
+h AS (SELECT doc_id, template, license, span, shingle, pos // span - o AS win FROM p JOIN s USING (width, shingle), (VALUES (0), (1)) b(o)),
+w AS (SELECT doc_id, template, license, span, win, count(DISTINCT shingle) AS held FROM h WHERE win >= 0 GROUP BY ALL)
+SELECT doc_id, license, template::INTEGER AS template, max(held::DOUBLE / all_of_it) AS containment, min(win * span)::BIGINT AS first_word, count(*) AS windows
+FROM w JOIN k USING (template) WHERE held::DOUBLE / all_of_it >= 0.8 GROUP BY doc_id, license, template
+""",
     "op9_fair_queue_mix": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
