@@ -25,24 +25,30 @@ from .common import store
 from .tokens import END, encoder, rank_path
 
 LENGTH, DIMS, BITS, HASHED = 2048, 3, 10, 4096
+#: Documents that a task encodes at a time.
+CHUNK = 256
 
 
 def projection(vocab: int = 65536, seed: int = 20) -> np.ndarray:
-    """For every id: the sign of its hash times the projection of the component that it falls in."""
+    """For every id: the sign of its hash times the projection of the component that it falls in.
+
+    Low ids are common pieces of text and weigh less.
+    """
     cells = np.random.default_rng(seed).standard_normal((HASHED, DIMS)).astype(np.float32)
     mixed = (np.arange(vocab, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-    sign = np.where(mixed & np.uint64(1), 1, -1).astype(np.float32)
-    return cells[(mixed >> np.uint64(1)) % np.uint64(HASHED)] * sign[:, None]
+    sign = np.where(mixed & np.uint64(1), 1, -1) * np.log1p(np.arange(vocab)) / np.log1p(vocab)
+    return cells[(mixed >> np.uint64(1)) % np.uint64(HASHED)] * sign.astype(np.float32)[:, None]
 
 
-def point(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The projected direction of a document's hashed vector, each component in -1 to 1."""
-    if not len(ids):
-        return np.zeros(DIMS)
-    counts = np.bincount(ids)
-    used = np.flatnonzero(counts)
-    weight = np.log1p(counts[used]).astype(np.float64)
-    return np.tanh((weight[:, None] * table[used]).sum(0) / np.sqrt((weight * weight).sum()) / 2)
+def points(sequences: list[np.ndarray], table: np.ndarray) -> np.ndarray:
+    """The projected direction of each document's hashed vector, each component in -1 to 1.
+
+    Every sequence has an id at least.
+    """
+    size = np.array([len(s) for s in sequences])
+    flat = table[np.concatenate(sequences)] if len(size) else np.zeros((0, DIMS))
+    sums = np.add.reduceat(flat, np.cumsum(size) - size, axis=0, dtype=np.float64) if len(size) else flat
+    return np.tanh(sums / np.sqrt(size)[:, None])
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -82,10 +88,10 @@ def encoded(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, table = encoder(path), projection()
         for b in batches:
-            ids = [enc.ids(t.as_py()) for t in b.column(1)]
-            keys = hilbert(np.array([point(i, table) for i in ids]).reshape(-1, DIMS))
-            whole = [np.append(i, np.array([END], "<u2")) for i in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys), pa.array([len(i) for i in whole], pa.int64()), pa.array([i.tobytes() for i in whole], pa.binary())], ["doc_id", "key", "n", "ids"])
+            for k in range(0, b.num_rows, CHUNK):
+                ids = [enc.ids(t, END) for t in b.column(1)[k : k + CHUNK].to_pylist()]
+                keys = hilbert(points(ids, table))
+                yield pa.RecordBatch.from_arrays([b.column(0)[k : k + CHUNK], pa.array(keys), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())], ["doc_id", "key", "n", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, n long, ids binary")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, mixing, packing, quality_rules, quality_vote, search, sharding, simhash
+from . import language, licenses, lm_scoring, mixing, packing, quality_rules, quality_vote, search, sharding, simhash
 from .common import id_bucket, table
 
 
@@ -16,6 +16,10 @@ def op1_latent_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_vote.vote(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
 
 
+def op2_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), id_bucket("doc_id", 7) == 2)
+
+
 def op3_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -54,7 +58,7 @@ def op10_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_latent_vote, op3_branch_and_bound, op4_hilbert_packing, op5_segmentation_language, op6_boosted_rules, op7_virtual_slots, op8_license_windows, op9_fair_queue_mix, op10_simhash_balls)}
+QUERIES = {f.__name__: f for f in (op1_latent_vote, op2_attention_scores, op3_branch_and_bound, op4_hilbert_packing, op5_segmentation_language, op6_boosted_rules, op7_virtual_slots, op8_license_windows, op9_fair_queue_mix, op10_simhash_balls)}
 
 #: Templates as rows of a DuckDB table: number, license, words.
 _TEMPLATE_ROWS = ", ".join(f"({i}, '{name}', {licenses.template_words(text)!r})" for i, (name, text) in enumerate(licenses.TEMPLATES))

@@ -1,9 +1,7 @@
 """Subword ids of whole texts under the public byte-level BPE of 50,257 ids.
 
-The vocabulary file is a parameter. Ids equal those of ``tokenizers`` on the JSON file (special
-strings as ordinary text); they are made from the same vocabulary's rank file, piece by piece: a text
-falls apart at single spaces, and what follows a space is looked up in a bounded table of encoded
-pieces. A piece that starts with white space depends on its neighbours; such a text is encoded whole.
+The vocabulary file is a parameter. Ids equal those of ``tokenizers`` on the JSON file, with special
+strings as ordinary text; they are made from the same vocabulary's rank file, several times faster.
 """
 
 from __future__ import annotations
@@ -13,8 +11,6 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Encoded pieces that a worker keeps.
-HELD = 300_000
 END = 1
 
 
@@ -24,9 +20,7 @@ def rank_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class Encoder(dict):
-    """Piece -> its ids as little-endian 16-bit bytes, None for a piece that can't stand alone."""
-
+class Encoder:
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
@@ -35,25 +29,11 @@ class Encoder(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def __missing__(self, piece: str) -> bytes | None:
-        if len(self) >= HELD:
-            self.clear()
-        ids = None if not piece or piece[0].isspace() else np.array(self.encode(" " + piece), "<u2").tobytes()
-        if len(piece) < 64:
-            self[piece] = ids
-        return ids
-
-    def ids(self, text: str | None) -> np.ndarray:
-        """The ids of a text as unsigned 16-bit numbers."""
-        if not text:
-            return np.zeros(0, "<u2")
-        head, *rest = text.split(" ")
-        if head:
-            try:
-                return np.frombuffer(np.array(self.encode(head), "<u2").tobytes() + b"".join(map(self.__getitem__, rest)), "<u2")
-            except TypeError:
-                pass
-        return np.array(self.encode(text), "<u2")
+    def ids(self, text: str | None, *end: int) -> np.ndarray:
+        """The ids of a text (null: none) and those of ``end``, as unsigned 16-bit numbers."""
+        found = self.encode(text) if text else []
+        found.extend(end)
+        return np.array(found, "<u2")
 
 
 @lru_cache(maxsize=2)
