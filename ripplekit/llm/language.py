@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 TRAIN_DOCS, ROUNDS, SMOOTH, LONGEST_PIECE = 500, 4, 0.05, 8
 #: Words whose likelihoods a worker holds.
-HELD = 200_000
+HELD = 500_000
 LETTER = re.compile(r"[^\W\d_]")
 STEP = 8
 
@@ -48,24 +48,60 @@ def load_pieces(path: str | None = None) -> dict[str, int]:
     return {p: i for i, p in enumerate(kept)}
 
 
-def lattice(words: list[str], pieces: dict[str, int]) -> np.ndarray:
-    """Piece numbers (words, length, LONGEST_PIECE) of words of one length, marked ``▁``.
-
-    [w, j, k] is the piece that ends after character j and has k+1 characters; the number of pieces
+BASE, SLOTS = np.uint64(0x9E3779B97F4A7C15), 21
+
+
+class PieceTable:
+    """Numbers of pieces by a 64-bit polynomial hash of their characters, looked up in arrays."""
+
+    def __init__(self, pieces: dict[str, int]):
+        self.size = len(pieces)
+        power = [np.uint64(pow(int(BASE), k, 2**64)) for k in range(LONGEST_PIECE)]
+        self.power = power
+        with np.errstate(over="ignore"):
+            hashes = [sum((np.uint64(ord(c)) * power[i] for i, c in enumerate(reversed(p))), np.uint64(0)) for p in pieces]
+        self.hash = np.array([*hashes, 0], np.uint64)
+        assert len(set(hashes)) == len(hashes)
+        for turn in range(1, 1000, 2):
+            self.turn = BASE * np.uint64(turn) if turn == 1 else np.uint64((int(BASE) * turn) % 2**64)
+            self.slot = np.full((1 << SLOTS) + 1, self.size, np.int32)
+            at = self.place(self.hash[:-1])
+            order = np.argsort(at, kind="stable")
+            same = np.concatenate([[False], at[order][1:] == at[order][:-1]]) if self.size else np.zeros(0, bool)
+            first, second = order[~same], order[same]
+            self.slot[at[first]] = first
+            if (self.slot[at[second] + 1] == self.size).all() and len(set(at[second])) == len(second):
+                self.slot[at[second] + 1] = second
+                return
+        raise ValueError("pieces can't be placed")
+
+    def place(self, h: np.ndarray) -> np.ndarray:
+        return ((h * self.turn) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Piece numbers of hashes; ``size`` where there is no such piece."""
+        at = self.place(h)
+        a = self.slot[at]
+        a = np.where(self.hash[a] == h, a, self.slot[at + 1])
+        return np.where(self.hash[a] == h, a, self.size).astype(np.int32)
+
+
+def lattice(words: list[str], table: PieceTable) -> np.ndarray:
+    """Piece numbers (length, LONGEST_PIECE, words) of words of one length, marked ``▁``.
+
+    [j, k, w] is the piece that ends with character j and has k+1 characters; the number of pieces
     where there is none, except that a lone character always has the number after that.
     """
-    none, n = len(pieces), len(words[0]) + 1
-    out = np.full((len(words), n, LONGEST_PIECE), none, np.int32)
-    get = pieces.get
-    for w, word in enumerate(words):
-        marked = "▁" + word
-        row = out[w]
-        for j in range(n):
-            for k in range(min(j + 1, LONGEST_PIECE)):
-                p = get(marked[j - k : j + 1])
-                if p is not None:
-                    row[j, k] = p
-        row[:, 0][row[:, 0] == none] = none + 1
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), -1).T.astype(np.uint64)
+    codes = np.concatenate([np.full((1, len(words)), ord("▁"), np.uint64), codes])
+    n = len(codes)
+    out = np.full((n, LONGEST_PIECE, len(words)), table.size, np.int32)
+    h = np.zeros_like(codes)
+    with np.errstate(over="ignore"):
+        for k in range(min(n, LONGEST_PIECE)):
+            h[k:] += codes[: n - k] * table.power[k]
+            out[k:, k] = table.find(h[k:])
+    out[:, 0][out[:, 0] == table.size] = table.size + 1
     return out
 
 
@@ -74,16 +110,15 @@ def forward(grid: np.ndarray, prob: np.ndarray) -> np.ndarray:
 
     prob: (pieces + 2, languages); the row of no piece is 0. Sums are rescaled every few characters.
     """
-    words, n, width = grid.shape
+    n, width, words = grid.shape
     langs = prob.shape[1]
-    held = [np.zeros((words, langs))] * width  # the sums before the last `width` characters, latest last
-    held = [*held[:-1], np.ones((words, langs))]
+    held = [np.ones((words, langs))]  # the sums before the last characters, latest last
     logs = np.zeros((words, langs))
     for j in range(n):
-        now = np.zeros((words, langs))
-        for k in range(min(width, j + 1)):
-            now += held[-1 - k] * prob[grid[:, j, k]]
-        held = [*held[1:], now]
+        now = held[-1] * prob[grid[j, 0]]
+        for k in range(1, min(width, j + 1)):
+            now += held[-1 - k] * prob[grid[j, k]]
+        held = [*held[1 - width :], now]
         if j % STEP == STEP - 1 or j == n - 1:
             logs += np.log(now)
             held = [h / now for h in held]
@@ -92,24 +127,21 @@ def forward(grid: np.ndarray, prob: np.ndarray) -> np.ndarray:
 
 def expectations(grid: np.ndarray, prob: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Expected uses (pieces + 2, languages) of pieces in words of one length, counted (words, languages)."""
-    words, n, width = grid.shape
+    n, width, words = grid.shape
     langs = prob.shape[1]
     alpha, beta = np.zeros((n + 1, words, langs)), np.zeros((n + 1, words, langs))
     alpha[0], beta[n] = 1, 1
     for j in range(n):
         for k in range(min(width, j + 1)):
-            alpha[j + 1] += alpha[j - k] * prob[grid[:, j, k]]
+            alpha[j + 1] += alpha[j - k] * prob[grid[j, k]]
     for j in range(n - 1, -1, -1):
         for k in range(min(width, j + 1)):
-            beta[j - k] += beta[j + 1] * prob[grid[:, j, k]]
+            beta[j - k] += beta[j + 1] * prob[grid[j, k]]
     scale = counts / np.maximum(alpha[n], 1e-300)
-    out = np.zeros_like(prob)
-    for j in range(n):
-        for k in range(min(width, j + 1)):
-            use = alpha[j - k] * prob[grid[:, j, k]] * beta[j + 1] * scale
-            for lang in range(langs):
-                out[:, lang] += np.bincount(grid[:, j, k], use[:, lang], len(prob))
-    return out
+    use = [[alpha[j - k] * prob[grid[j, k]] * beta[j + 1] * scale for k in range(min(width, j + 1))] for j in range(n)]
+    at = np.concatenate([grid[j, k] for j in range(n) for k in range(min(width, j + 1))])
+    flat = np.concatenate([u for us in use for u in us])
+    return np.stack([np.bincount(at, flat[:, lang], len(prob)) for lang in range(langs)], axis=1)
 
 
 def fit(counts: dict[str, np.ndarray], langs: int, pieces: dict[str, int], rounds: int = ROUNDS) -> np.ndarray:
@@ -120,7 +152,8 @@ def fit(counts: dict[str, np.ndarray], langs: int, pieces: dict[str, int], round
     by_length: dict[int, list[str]] = {}
     for w in sorted(counts):
         by_length.setdefault(len(w), []).append(w)
-    groups = [(lattice(ws, pieces), np.array([counts[w] for w in ws], float)) for ws in by_length.values()]
+    table = PieceTable(pieces)
+    groups = [(lattice(ws, table), np.array([counts[w] for w in ws], float)) for ws in by_length.values()]
     for _ in range(rounds):
         uses = np.zeros_like(prob)
         for grid, n in groups:
@@ -135,12 +168,12 @@ class Scorer:
     """Log likelihoods of texts, with a bounded table of words."""
 
     def __init__(self, langs: list[str], prob: np.ndarray, pieces: dict[str, int]):
-        self.langs, self.prob, self.pieces = langs, prob, pieces
+        self.langs, self.prob, self.table_of_pieces = langs, prob, PieceTable(pieces)
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.langs)))
+        self.table = np.zeros((1024, len(self.langs)), np.float32)
 
     def learn(self, words: set[str]) -> None:
         by_length: dict[int, list[str]] = {}
@@ -150,7 +183,7 @@ class Scorer:
             block = max(1, 2_000_000 // ((n + 1) * LONGEST_PIECE))
             for k in range(0, len(group), block):
                 part = group[k : k + block]
-                logs, first = forward(lattice(part, self.pieces), self.prob), len(self.place)
+                logs, first = forward(lattice(part, self.table_of_pieces), self.prob), len(self.place)
                 while len(self.table) < first + len(part):
                     self.table = np.concatenate([self.table, np.zeros_like(self.table)])
                 self.table[first : first + len(part)] = logs
@@ -158,20 +191,20 @@ class Scorer:
 
     def likelihoods(self, texts: list[str]) -> np.ndarray:
         split = [t.lower().split() for t in texts]
-        new = {w for ws in split for w in ws if w not in self.place}
+        new = set().union(*split).difference(self.place)
         if len(self.place) + len(new) > HELD and self.place:
             self.clear()
-            new = {w for ws in split for w in ws}
+            new = set().union(*split)
         if new:
             self.learn(new)
         at = self.place.__getitem__
-        return np.array([self.table[np.fromiter(map(at, ws), np.int64, len(ws))].sum(axis=0) for ws in split]).reshape(-1, len(self.langs))
+        return np.array([self.table[np.fromiter(map(at, ws), np.int64, len(ws))].sum(axis=0, dtype=float) for ws in split]).reshape(-1, len(self.langs))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
         open_ = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.langs else []
-        for k in range(0, len(open_), 64):
-            part = open_[k : k + 64]
+        for k in range(0, len(open_), 256):
+            part = open_[k : k + 256]
             logs = self.likelihoods([texts[i] for i in part])
             best = logs.argmax(axis=1)
             post = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
