@@ -22,10 +22,9 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body
+from .common import body, store
 
 WIDTH, BANDS, LEAST, MOST_SHINGLES = 5, 32, 0.8, 50_000
-WORDS = r"[\p{L}\p{N}]+"
 
 #: Notices as their licenses recommend them, and what files usually say: (license, text).
 TEMPLATES = (
@@ -50,21 +49,35 @@ def template_words(text: str) -> list[str]:
 
 
 def _template_table(docs: DataFrame, templates) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """Templates (template, license, width, span, shingles) and the classes (width, span) they form."""
+    """Templates (template, license, width, span, words, shingles) and the classes (width, span) they form."""
     rows = []
     for i, (name, text) in enumerate(templates):
         words = template_words(text)
         if words:
             width = min(WIDTH, len(words))
-            rows.append((i, name, width, len(words) - width + 1, [" ".join(words[k : k + width]) for k in range(len(words) - width + 1)]))
+            rows.append((i, name, width, len(words) - width + 1, words, [" ".join(words[k : k + width]) for k in range(len(words) - width + 1)]))
     if sum(r[3] for r in rows) > MOST_SHINGLES:
         raise ValueError(f"templates have more than {MOST_SHINGLES} shingles")
-    made = docs.sparkSession.createDataFrame(rows, "template int, license string, width int, span int, shingles array<string>")
+    made = docs.sparkSession.createDataFrame(rows, "template int, license string, width int, span int, words array<string>, shingles array<string>")
     return made, sorted({(r[2], r[3]) for r in rows})
 
 
+def _once(expr: str, name: str):
+    """A column that the optimizer does not copy into its users."""
+    return F.expr(f"if(rand() < 2, {expr}, null)").alias(name)
+
+
+def _shingle(width: int) -> str:
+    """The hash of the words from i on, in a lambda over the array h of word hashes."""
+    return "xxhash64(x" + "".join(f", get(h, i + {k})" for k in range(1, width)) + ")"
+
+
+def _literals(numbers: set[int]) -> str:
+    return ", ".join(f"bigint('{n}')" for n in sorted(numbers))
+
+
 def signature(hashes: str) -> str:
-    """BANDS bands of one minimum each: (band, minimum) pairs of an array of shingle hashes."""
+    """BANDS bands of one minimum each, of an array of shingle hashes."""
     return "array(" + ", ".join(f"array_min(transform({hashes}, x -> xxhash64(x, {b}L)))" for b in range(BANDS)) + ")"
 
 
@@ -75,35 +88,37 @@ def scan(docs: DataFrame, templates=TEMPLATES, carry: tuple[str, ...] = ("doc_id
     matching window starts), windows (how many match).
     """
     known, classes = _template_table(docs, templates)
-    hashed = known.withColumn("hashes", F.expr("transform(shingles, s -> xxhash64(s))"))
     if not classes:
         return docs.select(*carry).where("false").selectExpr("*", "'' AS license", "0 AS template", "0D AS containment", "0L AS first_word", "0L AS windows")
+    hashed = known.withColumn("h", F.expr("transform(words, w -> xxhash64(w))"))
+    starts: set[int] = set()
     numbers: dict[int, set[int]] = {}
-    for r in hashed.select("width", "hashes").collect():
-        numbers.setdefault(r["width"], set()).update(r["hashes"])
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *carry, F.regexp_extract_all(F.lower(body()), F.lit(WORDS), 0).alias("words"))
-    for w in numbers:
-        rows = rows.withColumn(f"h{w}", F.expr(f"if(size(words) >= {w}, transform(sequence(1, size(words) - {w - 1}), i -> xxhash64(array_join(slice(words, i, {w}), ' '))), array())"))
-    for w, known_hashes in numbers.items():
-        within = ", ".join(f"{x}L" if x != -(2**63) else "bigint(-9223372036854775807) - 1L" for x in sorted(known_hashes))
-        rows = rows.withColumn(f"at{w}", F.expr(f"filter(transform(h{w}, (x, i) -> if(x IN ({within}), i, -1)), i -> i >= 0)"))
+    for w in {w for w, _ in classes}:
+        for r in hashed.where(F.col("width") == w).select("h", F.expr(f"transform(h, (x, i) -> {_shingle(w)})").alias("s"), "span").collect():
+            starts |= set(r["h"][: r["span"]])
+            numbers[w] = numbers.get(w, set()) | set(r["s"][: r["span"]])
+    # where a shingle of a template stands: its first word is looked up first, which few words pass
+    found = " OR ".join(f"{_shingle(w)} IN ({_literals(n)})" for w, n in numbers.items())
+    split = F.split(F.lower(body()), r"[^\p{L}\p{N}]+").alias("raw")
+    bare = "slice(raw, if(raw[0] = '', 2, 1), greatest(size(raw) - int(raw[0] = '') - int(raw[size(raw) - 1] = ''), 0))"
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *carry, split).select("_row", *carry, _once(bare, "words"))
+    rows = rows.select("_row", *carry, "words", _once("transform(words, w -> xxhash64(w))", "h"))
+    rows = rows.select("_row", *carry, "words", _once(f"filter(transform(h, (x, i) -> if(x IN ({_literals(starts)}) AND ({found}), i, -1)), i -> i >= 0)", "at"))
     parts = []
     for w, m in classes:
-        starts = f"filter(array_distinct(flatten(transform(at{w}, p -> array(p div {m}, p div {m} - 1)))), k -> k >= 0)"
-        parts.append(
-            f"transform({starts}, k -> struct({w} AS width, {m} AS span, k * {m} AS first_word, slice(h{w}, int(k * {m} + 1), {2 * m}) AS hashes, "
-            f"slice(words, int(k * {m} + 1), {2 * m + w - 1}) AS words))"
-        )
-    # rand() keeps the optimizer from evaluating the windows again in a filter below the generator
-    rows = rows.select("_row", *carry, F.expr(f"if(rand() < 2, concat({', '.join(parts)}), null)").alias("found"))
-    windows = rows.select("_row", *carry, F.explode("found").alias("w")).select("_row", *carry, "w.*")
-    bands = windows.withColumn("bands", F.expr(signature("hashes"))).drop("hashes")
-    theirs = hashed.select("template", "license", "shingles", F.col("width").alias("t_width"), F.col("span").alias("t_span"), F.posexplode(F.expr(signature("hashes"))).alias("t_band", "t_min"))
-    retrieved = theirs.groupBy("t_width", "t_span", "template", "license", "shingles").agg(F.array_sort(F.collect_list(F.struct("t_band", "t_min"))).alias("t"))
-    pairs = bands.join(F.broadcast(retrieved), (F.col("width") == F.col("t_width")) & (F.col("span") == F.col("t_span")))
-    collided = pairs.where(F.exists(F.arrays_zip("bands", "t"), lambda z: z["bands"] == z["t"]["t_min"]))
-    own = F.expr("transform(sequence(1, greatest(size(words) - width + 1, 1)), i -> array_join(slice(words, i, width), ' '))")
-    held = F.size(F.array_intersect(own, "shingles")) / F.size(F.array_distinct("shingles"))
+        begin = f"filter(array_distinct(flatten(transform(at, p -> array(p div {m}, p div {m} - 1)))), k -> k >= 0)"
+        parts.append(f"transform({begin}, k -> struct({w} AS width, {m} AS span, k * {m} AS first_word, slice(words, int(k * {m} + 1), {2 * m + w - 1}) AS words))")
+    rows = rows.select("_row", *carry, _once(f"concat({', '.join(parts)})", "found"))
+    rows = store(rows, "license-windows")  # the windows are made once, whatever reads them
+    windows = rows.select("_row", *carry, F.explode("found").alias("w")).select("_row", *carry, "w.*").where("size(words) >= width")
+    own = F.expr("transform(sequence(1, size(words) - width + 1), i -> array_join(slice(words, i, width), ' '))")
+    windows = windows.withColumn("own", own).withColumn("hashes", F.expr("transform(own, s -> xxhash64(s))"))
+    bands = windows.withColumn("bands", F.expr(signature("hashes"))).drop("hashes", "words")
+    theirs = known.withColumn("hashes", F.expr("transform(shingles, s -> xxhash64(s))"))
+    theirs = theirs.select("template", "license", "shingles", F.col("width").alias("t_width"), F.col("span").alias("t_span"), F.expr(signature("hashes")).alias("t_bands"))
+    pairs = bands.join(F.broadcast(theirs), (F.col("width") == F.col("t_width")) & (F.col("span") == F.col("t_span")))
+    collided = pairs.where(F.exists(F.arrays_zip("bands", "t_bands"), lambda z: z["bands"] == z["t_bands"]))
+    held = F.size(F.array_intersect("own", "shingles")) / F.size(F.array_distinct("shingles"))
     matches = collided.withColumn("containment", held).where(F.col("containment") >= least)
     best = matches.groupBy("_row", *carry, "license", "template").agg(F.max("containment").alias("containment"), F.min("first_word").cast("long").alias("first_word"), F.count("*").alias("windows"))
     return best.drop("_row")
