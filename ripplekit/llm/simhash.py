@@ -204,7 +204,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = groups_.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     repeated = kept.groupBy("doc_id").count().where("count > 1").limit(1).count()
     ids = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    # a shuffle at every size: the kept ids grow with the documents, so they are never broadcast
+    out = docs.join(ids.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
     return out.dropDuplicates(["doc_id"]) if repeated else out
 
 
