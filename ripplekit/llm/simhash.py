@@ -187,11 +187,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     named = store(joined.join(lowest, "root").select("fp", "component_id", "n"), "components")
     # A fingerprint with a thousandth of the rows is hot; there are at most a thousand of those.
-    hot = F.broadcast(named.where(F.col("n") * 1000 >= total).select("fp", F.col("component_id").alias("hot_id")))
+    hot = F.broadcast(named.where(F.col("n") * 1000 >= total).select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("_hot")))
     cold = named.where(F.col("n") * 1000 < total).select("fp", "component_id")
-    marked = rows.join(hot, "fp", "left").withColumn("_found", F.col("hot_id").isNotNull())
-    out_hot = marked.where("_found").select(id_col, "fp", F.col("hot_id").alias("component_id"))
-    return out_hot.unionByName(marked.where("not _found").select(id_col, "fp").join(cold, "fp").select(id_col, "fp", "component_id"))
+    marked = rows.join(hot, "fp", "left")  # the id of a group may be null, the mark isn't
+    out_hot = marked.where("_hot").select(id_col, "fp", F.col("hot_id").alias("component_id"))
+    return out_hot.unionByName(marked.where("_hot IS NULL").select(id_col, "fp").join(cold, "fp").select(id_col, "fp", "component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
