@@ -115,12 +115,12 @@ def picked(first: str, score: str, updates: dict[str, str], arcs: str, k: int, *
 
 
 def fewest(order: str, *blocks: str, extra: str = "", columns: str = "target, k::BIGINT AS k, round(spread, 6) AS spread") -> str:
-    """Fewest seeds of an order (SQL for rank, node) on the undirected live edges, for targets 6 and 12."""
+    """Fewest seeds of an order (SQL for rank, node) on the undirected live edges, for targets 12 and 56."""
     more = f"""ord AS MATERIALIZED ({order}),
 zr AS (SELECT world::INT AS world, node, rank::BIGINT AS rank FROM ord, range(0, {R}) r(world) UNION SELECT l.world, l.dst, zr.rank FROM zr JOIN ulive_both l ON l.world = zr.world AND l.src = zr.node),
 zf AS (SELECT world, node, min(rank) AS rank FROM zr GROUP BY 1, 2),
 zc AS (SELECT o.rank::BIGINT AS k, sum(count(f.node)) OVER (ORDER BY o.rank) / {R}.0::DOUBLE AS spread FROM ord o LEFT JOIN zf f ON f.rank = o.rank GROUP BY o.rank),
-zt AS (SELECT t AS target, min(k) AS k FROM zc, (SELECT unnest([6.0, 12.0]::DOUBLE[]) AS t) WHERE spread >= t GROUP BY 1)"""
+zt AS (SELECT t AS target, min(k) AS k FROM zc, (SELECT unnest([12.0, 56.0]::DOUBLE[]) AS t) WHERE spread >= t GROUP BY 1)"""
     return with_blocks(f"SELECT {columns} FROM zt JOIN zc USING (k)", "ulive_both", *blocks, extra=(extra + ",\n" if extra else "") + more)
 
 
@@ -224,7 +224,7 @@ ORACLE_SQL: dict[str, str] = {
     "e02_relabel_actions": with_blocks(
         "SELECT a.new AS src, b.new AS dst, e.event_id AS action FROM ev e JOIN few b ON b.old = e.dst LEFT JOIN few a ON a.old = e.src WHERE e.src IS NULL OR (a.new IS NOT NULL AND e.src <> e.dst)", "lines",
         extra="ev AS (SELECT CASE WHEN event_id % 3 <> 0 THEN user_id + 1 END AS src, user_id AS dst, event_id FROM events WHERE event_id % 10 = 0), few AS (SELECT node AS old, row_number() OVER (ORDER BY min(k)) - 1 AS new FROM (SELECT 2 * line AS k, src AS node FROM lines WHERE line < 2000 UNION ALL SELECT 2 * line + 1, dst FROM lines WHERE line < 2000) GROUP BY node)"),
-    "e03_prune": with_blocks("SELECT l.src, l.dst FROM lines l JOIN first a ON a.old = l.src JOIN first b ON b.old = l.dst WHERE a.new < 40 AND b.new < 40", "first"),
+    "e03_prune": with_blocks("SELECT src, dst FROM lines WHERE src IN (SELECT node FROM kept) AND dst IN (SELECT node FROM kept)", "lines", extra="seen AS (SELECT src AS node, 2 * line AS k FROM lines UNION ALL SELECT dst, 2 * line + 1 FROM lines), kept AS MATERIALIZED (SELECT node FROM seen GROUP BY node ORDER BY min(k) LIMIT 40)"),
     "e05_almost_equal": with_blocks("SELECT src, dst, abs(p - 0.02::DOUBLE) < 0.011::DOUBLE AS equal FROM arcs_p", "arcs_p"),
     "e06_ego_edges": with_blocks(
         "SELECT DISTINCT src, dst, w FROM (SELECT node AS src, node AS dst, 1::BIGINT AS w FROM useeds UNION ALL SELECT * FROM b WHERE src IN (SELECT node FROM useeds) UNION ALL SELECT * FROM b WHERE src IN (SELECT node FROM useeds UNION SELECT dst FROM b WHERE src IN (SELECT node FROM useeds)))", "useeds",
@@ -304,7 +304,7 @@ ORACLE_SQL: dict[str, str] = {
         extra=f"t AS MATERIALIZED (SELECT src AS node FROM arcs GROUP BY 1 ORDER BY sum(w) DESC, 1 LIMIT 8), p AS (SELECT x.node AS a, y.node AS b FROM t x JOIN t y ON x.node < y.node), z AS (SELECT world::INT AS world, node AS u, node AS v FROM t, range(0, {R}) r(world) UNION SELECT z.world, z.u, l.dst FROM z JOIN live l ON l.world = z.world AND l.src = z.v)"),
     "k24_degree_inside": with_blocks("SELECT (row_number() OVER (ORDER BY s DESC, node))::INT AS rank, node, s AS score FROM (SELECT src AS node, sum(w)::DOUBLE AS s FROM sym WHERE src % 2 = 0 AND dst % 2 = 0 GROUP BY 1) ORDER BY s DESC, node LIMIT 5", "sym"),
     "z01_degree_discount": fewest(f"SELECT rank, node FROM ({_dd_picks})", "sym", extra=_dd),
-    "z03_stop_at_target": fewest(f"SELECT rank, node FROM ({_dd_picks})", "sym", extra=_dd, columns="target, k::BIGINT AS k") + " WHERE target = 6",
+    "z03_stop_at_target": fewest(f"SELECT rank, node FROM ({_dd_picks})", "sym", extra=_dd, columns="target, k::BIGINT AS k") + " WHERE target = 12",
     "z05_reverse_ccwp": reverse("r.place <= greatest(floor(n.L * 2.3::DOUBLE), 1)", "1 / (k.size * k.L)::DOUBLE"),
     "z06_reverse_ccwp_least": reverse("r.size >= 3", "1 / (k.size * k.L)::DOUBLE"),
     "z07_reverse_ccwp_arcs": reverse("r.size >= 3", "1 / (k.size * qualified)::DOUBLE", 2, "sym_p"),
@@ -332,8 +332,8 @@ ORACLE_SQL: dict[str, str] = {
     "r16b_forest_power_plus": with_blocks("SELECT src, dst, p FROM forest UNION ALL (SELECT src, dst, p FROM weak WHERE k NOT IN (SELECT k FROM forest) ORDER BY k LIMIT (SELECT 40 - count(*) FROM forest))", "forest"),
     "r18_chung_lu": with_blocks("SELECT a.node AS u, b.node AS v, round(a.d * b.d / (SELECT sum(d) FROM degree) / CASE WHEN a.node = b.node THEN 2 ELSE 1 END, 6) AS p FROM degree a JOIN degree b ON a.node <= b.node", "degree"),
     "r19_expected_degrees": with_blocks("SELECT node, round(sum(o + i), 6) AS d, round(sum(o), 6) AS dout, round(sum(i), 6) AS din FROM (SELECT src AS node, p AS o, 0::DOUBLE AS i FROM faint UNION ALL SELECT dst, 0, p FROM faint) GROUP BY 1", "faint"),
-    "r20_reassign_chung_lu": with_blocks("SELECT e.src, e.dst, round(least(a.d * b.d / sum(b.d) OVER (PARTITION BY e.src), 1), 6) AS p FROM top60_both e JOIN degree a ON a.node = e.src JOIN degree b ON b.node = e.dst", "top60_both", "degree"),
-    "r21_reassign_equally": with_blocks("SELECT e.src, e.dst, round(least(a.d / count(*) OVER (PARTITION BY e.src), 1), 6) AS p FROM top60_both e JOIN degree a ON a.node = e.src", "top60_both", "degree"),
+    "r20_reassign_chung_lu": with_blocks("SELECT e.src, e.dst, round(least(round(a.d, 9) * round(b.d, 9) / sum(round(b.d, 9)) OVER (PARTITION BY e.src), 1), 6) AS p FROM top60_both e JOIN degree a ON a.node = e.src JOIN degree b ON b.node = e.dst", "top60_both", "degree"),
+    "r21_reassign_equally": with_blocks("SELECT e.src, e.dst, round(least(round(a.d, 9) / count(*) OVER (PARTITION BY e.src), 1), 6) AS p FROM top60_both e JOIN degree a ON a.node = e.src", "top60_both", "degree"),
     "r22_redistribute": with_blocks(
         "SELECT k.src, k.dst, round(least(k.p + coalesce(a.x, 0) + coalesce(b.x, 0), 1), 6) AS p FROM top60 k LEFT JOIN s a ON a.node = k.src LEFT JOIN s b ON b.node = k.dst", "top60",
         extra="g AS (SELECT * FROM faint WHERE NOT EXISTS (SELECT 1 FROM top60 t WHERE t.src = faint.src AND t.dst = faint.dst)), x AS (SELECT node, sum(p) / 2 AS x FROM (SELECT src AS node, p FROM g UNION ALL SELECT dst, p FROM g) GROUP BY 1), n AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM top60 UNION ALL SELECT dst FROM top60) GROUP BY 1), s AS (SELECT node, x / n AS x FROM x JOIN n USING (node))"),
