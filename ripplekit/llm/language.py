@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 TRAIN_DOCS, ROUNDS, SMOOTH, LONGEST_PIECE = 500, 4, 0.05, 8
 #: Words whose likelihoods a worker holds.
-HELD = 500_000
+HELD = 300_000
 LETTER = re.compile(r"[^\W\d_]")
 STEP = 8
 
