@@ -1 +1 @@
-"""Part of the graph engine."""
+"""Kernels on numpy arrays, aggregates and statistics."""

@@ -1 +1 @@
-"""Part of the graph engine."""
+"""Operators on graphs: transforms, models, worlds, diffusion, selection, minimization, reliability, sparsification."""

@@ -1 +1 @@
-"""Part of the graph engine."""
+"""The catalogue: one query per operator and its SQL."""

@@ -1 +1 @@
-"""Part of the graph engine."""
+"""Readers and writers of graphs, seeds, results and linear programs."""

@@ -1 +1 @@
-"""Part of the graph engine."""
+"""Empty on purpose: all graphs here are static, so there is no operator on streams."""
