@@ -150,17 +150,19 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, to
     tail = bounds(total, length)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[tuple] = []
-            take: list[int] = []
-            for k, (n, raw, part, begin) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())):
-                wide = np.frombuffer(raw, "<u2").astype("<u4")
-                for s, size, seq, off in cut(base[part] + begin, n, tail, length):
-                    took = wide[s : s + size]
-                    rows.append((s, size, zlib.crc32(took.tobytes()), n, seq, off, took.tobytes()))
-                    take.append(k)
-            cols = list(zip(*rows)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), *[pa.array(c, pa.int64()) for c in cols[:6]], pa.array(cols[6], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, CHUNK):
+                b = whole.slice(first, CHUNK)
+                rows: list[tuple] = []
+                take: list[int] = []
+                for k, (n, raw, part, begin) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())):
+                    wide = np.frombuffer(raw, "<u2").astype("<u4")
+                    for s, size, seq, off in cut(base[part] + begin, n, tail, length):
+                        took = wide[s : s + size].tobytes()
+                        rows.append((s, size, zlib.crc32(took), n, seq, off, took))
+                        take.append(k)
+                cols = list(zip(*rows)) or [[]] * 7
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), *[pa.array(c, pa.int64()) for c in cols[:6]], pa.array(cols[6], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
     out = laid.select("doc_id", "n", "ids", "part", "begin")
     return out.mapInArrow(pieces, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

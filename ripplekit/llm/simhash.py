@@ -31,7 +31,7 @@ from .common import drop, store, store_at
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 #: Fingerprints that a task expands at a time: 1,057 variants of 10 bytes each at most.
-BLOCK = 2048
+BLOCK = 1024
 #: Variants that a task of the collision step is meant to hold (16 bytes each).
 PER_BUCKET = 1_500_000
 
