@@ -129,7 +129,7 @@ def s08_uncertain_reader(g):
 
 @graphs
 def s09_edge_probability_reader(g):
-    return S.attach_probabilities(g.spark, g.arcs.where("w > 1"), O.write_lines(g.arcs_p, g.path("s09"), "src", "dst", "p"))
+    return S.attach_probabilities(g.spark, g.arcs, O.write_lines(g.arcs_p, g.path("s09"), "src", "dst", "p"))
 
 
 @graphs
@@ -262,7 +262,7 @@ def e06_ego_edges(g):
 @graphs
 def e07_spread_edges(g):
     active = D.cascade(g.arcs, g.seeds, 1).select("node", "level")
-    return E.spread_edges(g.arcs.where("w > 2"), active)
+    return E.spread_edges(g.arcs, active)
 
 
 @graphs
@@ -592,12 +592,12 @@ def k20b_representative_min(g):
 
 @graphs
 def k21_pmia(g):
-    return rounded(T.pmia(M.weighted_cascade(g.arcs.where("w > 1 AND src <> dst")), 4), "score")
+    return rounded(T.pmia(M.weighted_cascade(g.arcs.where("src <> dst")), 4), "score")
 
 
 @graphs
 def k22_ldag(g):
-    return rounded(T.ldag(M.uniform_weights(g.arcs.where("w > 1 AND src <> dst")), 4, 1 / 40), "score")
+    return rounded(T.ldag(M.uniform_weights(g.arcs.where("src <> dst")), 4, 1 / 40), "score")
 
 
 @graphs
@@ -666,7 +666,7 @@ def z09_reverse_general_discount(g):
 
 @graphs
 def z10_reverse_pmia(g):
-    return _fewest(g, T.pmia(M.weighted_cascade(g.sym.where("w > 2")), 4))
+    return _fewest(g, T.pmia(M.weighted_cascade(g.sym), 4))
 
 
 @graphs
@@ -858,7 +858,7 @@ def h05_flatten(g):
 
 @graphs
 def h06_graph_statistics(g):
-    return rounded(H.graph_statistics(g.und.where("w > 1")), "mean_degree", "clustering")
+    return rounded(H.graph_statistics(g.und), "mean_degree", "clustering")
 
 
 @graphs
