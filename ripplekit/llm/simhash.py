@@ -57,16 +57,17 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp long): the fingerprint's 64 bits as a signed number."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """(id_col, more..., fp long): the fingerprint's 64 bits as a signed number."""
+    cols = [id_col, *more]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], [id_col, "fp"])
+            fps = np.array([fingerprint(t.as_py()) for t in b.column(len(cols))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], pa.array(fps)], [*cols, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(of, f"`{id_col}` {kind}, fp long")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
+    return docs.select(*cols, text_col).mapInArrow(of, f"{kinds}, fp long")
 
 
 def masks() -> tuple[np.ndarray, np.ndarray]:
@@ -195,18 +196,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its group: one document of each group.
+    """One row of ``docs`` of each group: the one with the smallest doc_id, nulls last.
 
-    Only ids and fingerprints are compared and joined; each text is shuffled once. Rows that repeat
-    an id are one document.
+    Ties go to the smaller fingerprint and then to the row written first, so rows that share an id,
+    or have none, count apart. Only keys and fingerprints are compared and joined; each text is
+    written with its key and shuffled once.
     """
-    groups_ = store(near_duplicates(docs).select("doc_id", "component_id"), "near-duplicates")
-    kept = groups_.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    repeated = kept.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    ids = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    # a shuffle at every size: the kept ids grow with the documents, so they are never broadcast
-    out = docs.join(ids.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    keyed = store(docs.withColumn("_row_key", F.monotonically_increasing_id()), "keyed")
+    rows = store(fingerprints(keyed, "doc_id", "text", "_row_key"), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row_key")).alias("low")
+    per_fp = store(rows.groupBy("fp").agg(least), "distinct")
+    n = per_fp.count()
+    if not n:
+        return docs
+    joined = per_fp.join(groups(links(per_fp, n)), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    chosen = joined.groupBy("root").agg(F.min(F.struct("low.no_id", "low.doc_id", "fp", "low._row_key")).alias("low"))
+    keys = store(chosen.select(F.col("low._row_key").alias("_row_key")), "kept")
+    # a shuffle at every size: the kept rows grow with the documents, so they are never broadcast
+    return keyed.join(keys.hint("shuffle_hash"), "_row_key", "left_semi").drop("_row_key")
 
 
 def hex_fingerprint(col: str = "fp"):

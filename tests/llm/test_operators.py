@@ -371,3 +371,12 @@ def test_near_duplicates_on_hard_rows(docs, none):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns and kept.where("doc_id = 6 OR doc_id = 2").count() == 0 and kept.where("doc_id = 5").count() == 1
     assert simhash.near_duplicates(none).count() == 0 and simhash.one_of_each(none).count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none_count_apart(spark):
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(5)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3]), (3, texts[4]), (7, texts[4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(((r["doc_id"], texts.index(r["text"])) for r in simhash.one_of_each(df).collect()), key=str)
+    assert kept == sorted([(None, 0), (None, 1), (7, 2), (7, 3), (3, 4)], key=str)
