@@ -196,6 +196,21 @@ def test_lm_scores_on_hard_rows(docs, none):
     assert lm_scoring.score(none, held, train_docs=20).count() == 0
 
 
+def test_weights_learn_from_documents_beyond_the_sample(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    cycle = [f"{a}{b}" for a in "bdfg" for b in "aeiou"]
+    texts = [" ".join(cycle[(k + i) % len(cycle)] for i in range(600)) for k in rng.integers(0, len(cycle), 300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+
+    def mean():
+        scored = lm_scoring.score(df, F.col("doc_id") % 10 == 0, train_docs=0).where("held_out")
+        return scored.agg(F.sum("score") / F.sum("n_tokens")).head()[0]
+
+    learned = mean()
+    monkeypatch.setattr(lm_scoring, "ROUNDS", 0, raising=False)
+    assert learned > mean() + 0.1
+
+
 def test_search_against_all_products(spark):
     rng = np.random.default_rng(7)
     v = [(int(i), [float(x) for x in rng.normal(size=20)]) for i in range(0, 400)]
