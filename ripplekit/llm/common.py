@@ -1,4 +1,4 @@
-"""Helpers that the training-data operators share: text rules, written tables, skew-safe joins."""
+"""Helpers that the training-data operators share: text rules, written tables, skew-safe joins, batches."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: The largest table, in rows, that an operator sends whole to every executor.
 BROADCAST_ROWS = 100_000
+#: Bytes of a batch of rows between Spark and a Python worker.
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +50,25 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of at most BATCH_BYTES, or of one row where that is larger.
+
+    The session's own limit stays if it is lower. It is read when the plan runs, so it stays set.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if not (now and now.isdigit() and int(now) <= BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def hashed_share(share: float, *cols):
+    """A condition that about ``share`` of all rows meet, evenly by a hash of ``cols``, however small."""
+    if share >= 1:
+        return F.lit(True)
+    return F.xxhash64(*cols).bitwiseAND(F.lit(2**63 - 1)) < F.lit(max(1, int(share * 2**63)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

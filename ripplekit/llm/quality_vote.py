@@ -6,11 +6,14 @@ labelled sample gives latent directions; every document is projected, compared w
 vectors by exact blocked cosine products, and its K nearest vote with weights that fall off with
 distance. Each label has the same weight in sum, so the vote does not lean to the commoner one.
 
-Fitted on at most PER_LABEL labelled documents of each label, taken evenly by a hash of their id.
-Nulls and edge cases: a null text is an empty one and gets a score as any other; documents labelled
-more than once have the mean of their labels; with no labels every score is 1, with one kind of label
-all neighbours agree; equal similarities all go to the earlier labelled vector (by doc_id); repeated
-rows get one row each; an empty table gives an empty result.
+Fitted on about PER_LABEL labelled documents of each label, taken evenly by a hash of their id; of rows
+that share an id each different text counts once, and 4 * PER_LABEL rows by hash are the most that the
+driver gets. Nulls and edge cases: a null text is an empty one and gets a score as any other; documents
+labelled more than once have the mean of their labels; with no labels every score is 1, with one kind
+of label all neighbours agree; equal similarities all go to the earlier labelled vector (by doc_id);
+repeated rows get one row each; very long texts count whole, a row at a time; an empty table gives an
+empty result. Columns of docs other than text and those carried don't matter; a carried column must
+not be called text, score or predicted.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textstats
+from .common import map_batches
 from .quality_rules import sample_labels
 
 PER_LABEL, RANK, K, SHARPNESS = 2500, 48, 25, 20.0
@@ -43,7 +47,7 @@ class Terms(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
-        shape = RUNS.sub(rb"\1", word.translate(SHAPE))[:12]
+        shape = RUNS.sub(rb"\1", word.translate(SHAPE))
         out = (zlib.crc32(word.lower()) % WORDS) * SHAPES + zlib.crc32(shape) % SHAPES
         if len(word) < 64:
             self[word] = out
@@ -122,7 +126,11 @@ def train(docs: DataFrame, labels: DataFrame, where, most: int = PER_LABEL) -> M
     """A model from labelled documents whose labels pass ``where`` (a condition on doc_id)."""
     picked = [sample_labels(labels, "quality", most, where & (F.col("quality") == y)) for y in (0, 1)]
     picked = picked[0].unionByName(picked[1]).groupBy("doc_id").agg(F.avg("y").alias("y"))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # about 2 * most rows
+    chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # about 2 * most ids
+    # an id may stand in any number of rows: keys of different texts are picked before the texts move
+    keys = chosen.groupBy("doc_id", F.xxhash64("text").alias("_text")).agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id", "_text"), "doc_id").limit(4 * most)
+    chosen = chosen.select("doc_id", "text", F.xxhash64("text").alias("_text")).join(F.broadcast(keys), ["doc_id", "_text"])
+    chosen = chosen.groupBy("doc_id", "_text").agg(F.first("text").alias("text"), F.first("y").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
@@ -132,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, where, most: int = PER_LABEL) -> M
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary())], ["doc_id", "y", "raw"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = chosen.select("doc_id", "text", "y").mapInArrow(run, f"doc_id {kind}, y double, raw binary").toPandas()
+    rows = map_batches(chosen.select("doc_id", "text", "y"), run, f"doc_id {kind}, y double, raw binary").toPandas()
     rows = rows.sort_values(["doc_id", "raw"])
     width = WORDS + SHAPES + len(textstats.FEATURES)
     raw = np.stack([np.frombuffer(r, np.float16) for r in rows["raw"]]).astype(np.float32) if len(rows) else np.zeros((0, width), np.float32)
@@ -152,5 +160,5 @@ def vote(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
             scores = [model.score(raw_vectors(texts[k : k + 256], terms)) for k in range(0, len(texts), 256)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*carry, "score"])
 
-    out = docs.select(*carry, "text").mapInArrow(run, f"{kinds}, score double")
+    out = map_batches(docs.select(*carry, "text"), run, f"{kinds}, score double")
     return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
