@@ -5,9 +5,13 @@ Hilbert curve of that cube is its key. Documents are range-sorted by key and lai
 neighbours on the curve share sequences. The stream is cut every 2048 ids; what is left at the end is
 cut into powers of two, largest first, which need no padding. So no sequence is padded at all.
 
+Ids are those of the JSON tokenizer as it comes, so a special string in a text is its own id.
+
 Nulls and edge cases: a null or empty text is its end id alone; repeated rows are packed each; equal
-keys go by id, nulls first; an empty table gives an empty result. Column names of the input other
-than doc_id and text don't matter.
+keys go by id, nulls first, then by length and checksum of the ids, so only equal rows of one id can
+change places; rows of one key and id may go to several tasks. Very long texts are cut over sequences
+like any other, a task holds the ids of BATCH_BYTES of text and of CHUNK documents. An empty table gives
+an empty result. Column names of the input other than doc_id and text don't matter.
 """
 
 from __future__ import annotations
@@ -21,12 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import map_batches, store
 from .tokens import END, encoder, rank_path
 
 LENGTH, DIMS, BITS, HASHED = 2048, 3, 10, 4096
-#: Documents that a task encodes at a time.
-CHUNK = 256
+#: Documents that a task encodes at a time; sorted parts at most (one number of each goes to all tasks).
+CHUNK, MOST_PARTS = 256, 100_000
+#: Columns of encoded documents after doc_id, and what they are sorted by.
+ENCODED = "key long, n long, crc long, row long, ids binary"
+ORDER = ["key", "doc_id", "n", "crc", "row"]
 
 
 def projection(vocab: int = 65536, seed: int = 20) -> np.ndarray:
@@ -81,19 +88,25 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, key, n, ids): Hilbert key, number of ids with the end, and the ids, 16 bits each."""
+    """(doc_id, key, n, crc, row, ids): Hilbert key, number of ids with the end, their checksum, a number
+    of the row, and the ids, 16 bits each."""
     path = tokenizer or rank_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, table = encoder(path), projection()
+        enc, table, row = encoder(path), projection(), TaskContext.get().partitionId() << 40
         for b in batches:
             for k in range(0, b.num_rows, CHUNK):
-                ids = [enc.ids(t, END) for t in b.column(1)[k : k + CHUNK].to_pylist()]
+                ids = [enc.ids(t, END, special=True) for t in b.column(1)[k : k + CHUNK].to_pylist()]
                 keys = hilbert(points(ids, table))
-                yield pa.RecordBatch.from_arrays([b.column(0)[k : k + CHUNK], pa.array(keys), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())], ["doc_id", "key", "n", "ids"])
+                raw = [i.tobytes() for i in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0)[k : k + CHUNK], pa.array(keys), pa.array([len(i) for i in ids], pa.int64()), pa.array(map(zlib.crc32, raw), pa.int64()), pa.array(range(row, row + len(ids)), pa.int64()), pa.array(raw, pa.binary())],
+                    ["doc_id", "key", "n", "crc", "row", "ids"],
+                )
+                row += len(ids)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, n long, ids binary")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, {ENCODED}")
 
 
 def bounds(total: int, length: int = LENGTH) -> np.ndarray:
@@ -130,26 +143,27 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, to
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     ids = store(encoded(docs, tokenizer), "encoded")
     total = ids.agg(F.sum("n")).head()[0] or 0
-    parts = max(1, -(-total // tokens_per_task), min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 200_000))
+    parts = max(1, min(MOST_PARTS, -(-total // tokens_per_task)), min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 200_000))
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for b in batches:
-            n = b.column(2).to_numpy()
+            n = b.column(1).to_numpy()
             begin = at + np.cumsum(n) - n
             at += int(n.sum())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(begin)], [*b.schema.names, "part", "begin"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(begin)], ["doc_id", "n", "ids", "part", "begin"])
 
-    ranged = ids.repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id", "n")
-    laid = store(ranged.mapInArrow(lay, f"doc_id {kind}, key long, n long, ids binary, part int, begin long"), "laid")
-    sums = laid.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
-    base, at = {}, 0
+    ranged = ids.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER).select("doc_id", "n", "ids")
+    laid = store(map_batches(ranged, lay, f"doc_id {kind}, n long, ids binary, part int, begin long"), "laid")
+    sums = laid.groupBy("part").agg(F.sum("n").alias("n")).collect()  # MOST_PARTS rows, or shuffle partitions, at most
+    size = np.zeros(max((r["part"] for r in sums), default=-1) + 1, np.int64)
     for r in sums:
-        base[r["part"]] = at
-        at += r["n"]
+        size[r["part"]] = r["n"]
+    starts = spark.sparkContext.broadcast(np.cumsum(size) - size)
     tail = bounds(total, length)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = starts.value.tolist()
         for whole in batches:
             for first in range(0, whole.num_rows, CHUNK):
                 b = whole.slice(first, CHUNK)
@@ -165,4 +179,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, to
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), *[pa.array(c, pa.int64()) for c in cols[:6]], pa.array(cols[6], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
     out = laid.select("doc_id", "n", "ids", "part", "begin")
-    return out.mapInArrow(pieces, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return map_batches(out, pieces, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -1,7 +1,8 @@
 """Subword ids of whole texts under the public byte-level BPE of 50,257 ids.
 
-The vocabulary file is a parameter. Ids equal those of ``tokenizers`` on the JSON file, with special
-strings as ordinary text; they are made from the same vocabulary's rank file, several times faster.
+The vocabulary file is a parameter. Ids equal those of ``tokenizers`` on the JSON file; they are made
+from the same vocabulary's rank file, several times faster. Special strings are ordinary text, or their
+own id where ``special`` is set, as that library does by default.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from functools import lru_cache
 import numpy as np
 
 END = 1
+#: The only special string of the vocabulary, and its id.
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 def rank_path() -> str:
@@ -27,11 +30,15 @@ class Encoder:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+        self.encode = self.encoding.encode_ordinary
 
-    def ids(self, text: str | None, *end: int) -> np.ndarray:
+    def ids(self, text: str | None, *end: int, special: bool = False) -> np.ndarray:
         """The ids of a text (null: none) and those of ``end``, as unsigned 16-bit numbers."""
-        found = self.encode(text) if text else []
+        if special and text and any(s in text for s in SPECIAL):
+            found = self.encoding.encode(text, allowed_special="all")
+        else:
+            found = self.encode(text) if text else []
         found.extend(end)
         return np.array(found, "<u2")
 
