@@ -4,9 +4,14 @@ Records hash into a fixed number of virtual slots. Bytes are summed per slot, an
 map says which shard holds each slot. Records never move between slots: to rebalance or to add
 shards, only the map is edited and its next version is stored beside the earlier ones.
 
-A record's size is the UTF-8 bytes of its text (null: none) plus 8. Null ids hash as empty text;
-repeated rows share a slot and take places one after another. An empty table gives an empty result
-and a map whose slots are dealt evenly. No more than the slot table (SLOTS rows) reaches the driver.
+A record hashes by its id. An id that stands in a thousandth of the rows or more (null is such a value
+too; there are at most a thousand) would fill its slot alone, so its records hash by id, text and row.
+
+A record's size is the UTF-8 bytes of its text (null: none) plus 8. Null ids hash as empty text; rows
+that repeat a rarer id share a slot and take places one after another, ordered by checksum and size;
+equal rows are interchangeable. Very long texts only count by their size. An empty table gives an empty
+result and a map whose slots are dealt evenly. No more than the slot table (SLOTS rows) reaches the
+driver. Only doc_id and text are read, so other columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -20,12 +25,21 @@ from pyspark.sql import functions as F
 from .common import body, shared_dir, store
 
 SLOTS = 8192
-#: Bytes that a record takes beside its text.
-OVERHEAD = 8
+#: Bytes that a record takes beside its text, and the part of all rows that makes an id hot.
+OVERHEAD, HOT = 8, 1000
 
 
-def virtual_slot(id_col: str, slots: int = SLOTS):
-    return F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(slots)).cast("int")
+def virtual_slot(id_col: str, slots: int = SLOTS, *more: str):
+    return F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), *more), F.lit(slots)).cast("int")
+
+
+def slotted(records: DataFrame, slots: int = SLOTS, *more: str) -> DataFrame:
+    """records (doc_id, ...) with their virtual_slot; those of hot ids hash by the columns ``more`` too."""
+    counts = records.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    hot = counts.where(F.col("n") * HOT >= records.count()).select(F.col("doc_id").alias("_hot_id"), F.lit(True).alias("_hot"))
+    marked = records.join(F.broadcast(hot), F.col("doc_id").eqNullSafe(F.col("_hot_id")), "left")  # HOT rows at most
+    slot = F.when(F.col("_hot"), virtual_slot("doc_id", slots, *more)).otherwise(virtual_slot("doc_id", slots))
+    return marked.withColumn("virtual_slot", slot).drop("_hot_id", "_hot")
 
 
 def record_size(text_col: str = "text"):
@@ -112,8 +126,8 @@ def shard(records: DataFrame, slot_map: DataFrame, order: list[str]) -> DataFram
 def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, virtual_slot, shard, slot) of all documents; map version 1 is stored."""
     spark = docs.sparkSession
-    records = docs.select("doc_id", record_size().alias("size"), F.crc32(body().cast("binary")).alias("text_crc32"), virtual_slot("doc_id", slots).alias("virtual_slot"))
-    records = store(records, "shard-records")
+    records = docs.select("doc_id", record_size().alias("size"), F.crc32(body().cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("row"))
+    records = slotted(store(records, "shard-records"), slots, "text_crc32", "row").drop("row")
     stored = SlotMap(spark, map_path or f"{shared_dir(spark)}/slot-map-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}")
     where = stored.save(1, first_map(collected_loads(records), shards, slots))
     return shard(records, where, ["doc_id", "text_crc32", "size"])
