@@ -12,9 +12,14 @@ some 1-bit ball reaches all colliding fingerprints are linked to one of these (a
 verified); two that reach it by 2 bits alone are at an even distance and are linked elsewhere if at
 2, not at all if at 4. So no group of copies is expanded into pairs and no link is lost.
 
-Equal fingerprints count once, so a group of exact copies costs one ball. Groups are found by
-hash-to-minimum rounds over the links, in tables in the shared folder. Repeated rows are separate
-rows of one group; a null doc_id links like any other but never names its group unless all are null.
+Equal fingerprints count once, so a group of exact copies costs one ball. The variants meet in at most
+MOST_BUCKETS buckets of about PER_BUCKET variants; more of them take several passes, each over its own
+part of the variants, so neither a task nor the disk that the variants take grows with the data. Groups
+are found by hash-to-minimum rounds over the links, in tables in the shared folder. Repeated rows are
+separate rows of one group; a null doc_id links like any other but never names its group unless all are
+null. Very long texts are hashed whole, in blocks; equal ids or fingerprints are ties that the docstrings
+settle; an empty table gives an empty result. ``near_duplicates`` returns columns of its own, whatever
+others there are; ``one_of_each`` returns rows with all their columns, names that clash included.
 """
 
 from __future__ import annotations
@@ -27,13 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, store, store_at
+from .common import drop, map_batches, store, store_at
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 #: Fingerprints that a task expands at a time: 1,057 variants of 10 bytes each at most.
 BLOCK = 1024
-#: Variants that a task of the collision step is meant to hold (16 bytes each).
-PER_BUCKET = 1_500_000
+#: Variants that a task of the collision step is meant to hold (16 bytes each), and buckets of a pass.
+PER_BUCKET, MOST_BUCKETS = 1_500_000, 8192
+#: Fingerprints that a task of the emitting step is meant to expand.
+PER_EMITTER = 50_000
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -67,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], pa.array(fps)], [*cols, "fp"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
-    return docs.select(*cols, text_col).mapInArrow(of, f"{kinds}, fp long")
+    return map_batches(docs.select(*cols, text_col), of, f"{kinds}, fp long")
 
 
 def masks() -> tuple[np.ndarray, np.ndarray]:
@@ -87,6 +94,10 @@ def variants(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return v, m, i
 
 
+def _turn(v: np.ndarray) -> np.ndarray:
+    return (v * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)
+
+
 def _spread(v: np.ndarray, buckets: int) -> np.ndarray:
     return ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
 
@@ -111,15 +122,32 @@ def star_links(v: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
 
 
-def links(distinct: DataFrame, n: int) -> DataFrame:
-    """Links (a, b), a < b, that join all groups of distinct fingerprints (fp)."""
-    buckets = max(12, -(-n * 561 // PER_BUCKET))
+def links(distinct: DataFrame, n: int, per_pass: int = PER_BUCKET * MOST_BUCKETS) -> DataFrame:
+    """Links (a, b), a < b, that join all groups of distinct fingerprints (fp), n in number."""
+    passes = -(-n * 561 // per_pass)
+    spread = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // PER_EMITTER))
+    fps = distinct.select("fp").repartition(spread, "fp")
+    if passes <= 1:
+        return pass_links(fps, n * 561)
+    fps = store(fps, "emitters")
+    out = store(pass_links(fps, n * 561 // passes, 0, passes), "pass-links")
+    for k in range(1, passes):  # one pass on disk at a time
+        out = out.union(store(pass_links(fps, n * 561 // passes, k, passes), "pass-links"))
+    return out.distinct()
+
+
+def pass_links(fps: DataFrame, size: int, number: int = 0, passes: int = 1) -> DataFrame:
+    """The links in one of ``passes`` parts of the variants, about ``size`` of them."""
+    buckets = max(12, -(-size // PER_BUCKET))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for k in range(0, len(fps), BLOCK):
                 v, m, _ = variants(fps[k : k + BLOCK])
+                if passes > 1:
+                    own = _turn(v) % np.uint64(passes) == number
+                    v, m = v[own], m[own]
                 to = _spread(v, buckets)
                 order = np.argsort(to, kind="stable")
                 v, m, to = v[order], m[order], to[order]
@@ -142,8 +170,8 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
             for k in range(0, len(found), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(found[k : k + 100_000, 0]), pa.array(found[k : k + 100_000, 1])], ["a", "b"])
 
-    met = distinct.select("fp").mapInArrow(emit, "bucket int, v binary, m binary").repartition(buckets, "bucket")
-    return met.mapInArrow(meet, "a long, b long").distinct()
+    met = map_batches(fps, emit, "bucket int, v binary, m binary").repartition(buckets, "bucket")
+    return map_batches(met, meet, "a long, b long").distinct()
 
 
 def groups(edges: DataFrame) -> DataFrame:
