@@ -2,26 +2,30 @@
 
 Each source is a queue; its documents stand in a hash-shuffled order and, once it is through, stand
 again (a repeat). The virtual finish time of a copy is the tokens its source has sent up to and
-including it, divided by the source's target. The copies are ordered by finish time over all sources
-and cut where their tokens reach the total budget.
+including it, divided by the source's target. The copies are range-sorted by finish time over all
+sources and cut where their tokens reach the total budget: the sums of the sorted parts tell the part
+that holds the cut, and running sums inside it the last copy that fits.
+
+Running sums over a source are made the same way: its documents are range-sorted by place, size and row
+over many tasks, so no task holds a whole source, nor all rows of one id.
 
 Nulls and edge cases: a null text counts 0 words; a null source is a source of its own, last in
 order; a null id shuffles as an empty one; sources without words have target 0 and nothing is taken;
-repeated rows are mixed as separate documents. An empty table gives an empty result.
+repeated rows are mixed as separate documents, in order of size and then of their rows in the written
+table; copies that finish at one time go in together or not at all. Very long texts only count by their
+words. An empty table gives an empty result. ``mix`` returns columns of its own, whatever others there
+are; ``mixed_documents`` returns the rows with all their columns, names that clash included.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, body, join_lookup, store
 
-#: Rows that the last step of the search for the cut may bring to the driver.
-CUT_ROWS = 10_000
-CUT_BINS = 4096
+#: Rows of a sorted part that is meant for one task.
+PER_PART = 500_000
 
 
 def words(col: str = "text"):
@@ -54,40 +58,28 @@ def targets(sizes: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), cap: float = 3
     return t.select("key", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+def parts_of(spark: SparkSession, n: int) -> int:
+    """Parts of a range sort of n rows."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 1000), -(-n // PER_PART))
+
+
 def _cut(copies: DataFrame, budget: float) -> float:
-    """The latest finish time at which all copies that have finished fit in the budget."""
-    whole = copies.agg(F.max("finish")).head()[0]
-    if whole is None:
+    """The latest finish time at which all copies (size, finish) that have finished fit in the budget."""
+    spark, n = copies.sparkSession, copies.count()
+    if not n:
         return 0.0
-    # At time 1 every source has sent its target at most; search beyond only as far as needed.
-    inside = copies.where(F.col("finish") <= 1.0).agg(F.sum("size")).head()[0] or 0
-    lo, hi, done = 1.0, whole, float(inside)
-    while hi > lo:
-        part = copies.where((F.col("finish") > lo) & (F.col("finish") <= hi))
-        step = (hi - lo) / CUT_BINS
-        bins = (
-            part.groupBy(F.least(F.floor((F.col("finish") - lo) / step), F.lit(CUT_BINS - 1)).alias("bin"))
-            .agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("finish").alias("first"), F.max("finish").alias("last"))
-            .orderBy("bin")
-            .collect()
-        )
-        over = None
-        for b in bins:
-            if done + b["size"] > budget:
-                over = b
-                break
-            done, lo = done + b["size"], b["last"]
-        if over is None or over["first"] == over["last"]:
-            return lo
-        if over["n"] <= CUT_ROWS:
-            rows = part.where((F.col("finish") >= over["first"]) & (F.col("finish") <= over["last"]))
-            for at, size in rows.groupBy("finish").agg(F.sum("size")).orderBy("finish").collect():
-                if done + size > budget:
-                    return lo
-                done, lo = done + size, at
-            return lo
-        lo, hi = math.nextafter(over["first"], -math.inf), over["last"]
-    return lo
+    ranged = copies.repartitionByRange(parts_of(spark, n), "finish").withColumn("part", F.spark_partition_id())
+    queue = store(ranged.sortWithinPartitions("finish"), "mix-finish")
+    sums = queue.groupBy("part").agg(F.sum("size").alias("size"), F.max("finish").alias("last")).orderBy("part").collect()  # one row a part
+    done, last = 0.0, 0.0
+    for p in sums:
+        if done + p["size"] > budget:
+            inside = queue.where(F.col("part") == p["part"]).groupBy("finish").agg(F.sum("size").alias("size"))
+            so_far = F.sum("size").over(Window.orderBy("finish").rowsBetween(Window.unboundedPreceding, 0))  # one part
+            within = inside.withColumn("so_far", so_far).where(F.col("so_far") <= F.lit(budget - done)).agg(F.max("finish")).head()[0]
+            return last if within is None else within
+        done, last = done + p["size"], p["last"]
+    return last
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: tuple[int, ...] = (5, 2, 1), repeats: int = 3, seed: str = "mix") -> DataFrame:
@@ -106,26 +98,26 @@ def sized_columns(id_col: str, text_col: str, source_col: str, seed: str) -> lis
 
 
 def docs_sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
-    return docs.select(*sized_columns(id_col, text_col, source_col, seed))
+    return docs.select(*sized_columns(id_col, text_col, source_col, seed), F.monotonically_increasing_id().alias("row"))
 
 
 def mix_sized(sized: DataFrame, cycle: tuple[int, ...], repeats: int, keep_place: bool = False) -> DataFrame:
-    """sized (id, source, key, place, size, any others) with source_size, target and copies.
+    """sized (id, source, key, place, size, row) with source_size, target and copies.
 
-    Running sums are made in two steps, so that no task holds a whole source: inside slices of the
-    hash order, and over the sums of the slices.
+    sized must be a written table. Running sums are made in two steps, so that no task holds a whole
+    source: inside slices of the range-sorted order, and over the sums of the slices.
     """
     n = sized.count()
-    digits = 2 if n < 100_000 else 3 if n < 50_000_000 else 5
-    cut = sized.withColumn("slice", F.substring("place", 1, digits))
+    ranged = sized.repartitionByRange(parts_of(sized.sparkSession, n), "key", "place", "size", "row")
+    cut = store(ranged.withColumn("slice", F.spark_partition_id()), "mix-slices")
     sums = cut.groupBy("key", "slice").agg(F.sum("size").alias("slice_size"), F.first("source").alias("source"))
     sources = targets(sums.groupBy("key").agg(F.first("source").alias("source"), F.sum("slice_size").alias("source_size")), cycle, float(repeats))
     before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("key", "slice", F.coalesce(F.sum("slice_size").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("key", "slice").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("key", "slice").orderBy("place", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     placed = cut.withColumn("sent", F.sum("size").over(inside)).join(offsets, ["key", "slice"])
     placed = join_lookup(placed.withColumn("sent", F.col("sent") + F.col("before")), sources, "key")
-    placed = store(placed.drop("slice", "before", *([] if keep_place else ["place"])), "mix-queue")
+    placed = store(placed.drop("slice", "before", *([] if keep_place else ["place", "row"])), "mix-queue")
     budget = float(placed.agg(F.sum("size")).head()[0] or 0)
     finish = [(F.lit(e) * F.col("source_size") + F.col("sent")) / F.col("target") for e in range(repeats)]
     finish = [F.when(F.col("target") > 0, f) for f in finish]
@@ -139,17 +131,20 @@ def mixed_documents(docs: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), repeats
     """The mix itself: the rows of ``docs`` (doc_id, text, source, ...), each as often as it is taken.
 
     Along a source's shuffled order the number of copies falls once, by one, so a source needs only
-    the lower number and the last place that has one more; texts are not shuffled. Rows of equal id
-    and size share their place and go in together.
+    the lower number and the last place that has one more; texts are not shuffled. The rows are written
+    once with a number each, which tells rows of equal id and size apart.
     """
-    sized = store(docs_sized(docs, "doc_id", "text", "source", seed), "mix-sizes")
-    mixed = mix_sized(sized, cycle, repeats, keep_place=True)
-    at = F.struct("place", "size")
+    names, row = docs.columns, "_mix_row"
+    while row in names:
+        row += "_"
+    keyed = store(docs.select(F.struct(*names).alias("_doc"), F.monotonically_increasing_id().alias(row)), "mix-rows")
+    columns = keyed.select("_doc.doc_id", "_doc.text", "_doc.source", F.col(row).alias("row"), "_doc")
+    sizes = [*sized_columns("doc_id", "text", "source", seed), F.col("row")]
+    mixed = mix_sized(store(columns.select(*sizes), "mix-sizes"), cycle, repeats, keep_place=True)
+    at = F.struct("place", "size", "row")
     least = mixed.groupBy("key").agg(F.min("copies").alias("low"), F.max("copies").alias("high"))
     last = join_lookup(mixed, least, "key").where("copies > low").groupBy("key").agg(F.max(at).alias("last"))
     cuts = least.join(last, "key", "left")
-    row = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source")
-    row = row.select("_row", *sized_columns("doc_id", "text", "source", seed))
-    out = join_lookup(row, cuts, "key")
+    out = join_lookup(columns.select(*sizes, "_doc"), cuts, "key")
     copies = F.col("low") + F.when(at <= F.col("last"), F.col("high") - F.col("low")).otherwise(0)
-    return out.withColumn("_copies", copies).where("_copies > 0").select(F.explode(F.array_repeat("_row", F.col("_copies"))).alias("_row")).select("_row.*")
+    return out.withColumn("_copies", copies).where("_copies > 0").select(F.explode(F.array_repeat("_doc", F.col("_copies"))).alias("_doc")).select("_doc.*")
