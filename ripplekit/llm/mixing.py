@@ -137,7 +137,7 @@ def mixed_documents(docs: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), repeats
     names, row = docs.columns, "_mix_row"
     while row in names:
         row += "_"
-    keyed = store(docs.select(F.struct(*names).alias("_doc"), F.monotonically_increasing_id().alias(row)), "mix-rows")
+    keyed = store(docs.select(F.struct(*names).alias("_doc"), F.monotonically_increasing_id().alias(row)), "mix-rows", "zstd")
     columns = keyed.select("_doc.doc_id", "_doc.text", "_doc.source", F.col(row).alias("row"), "_doc")
     sizes = [*sized_columns("doc_id", "text", "source", seed), F.col("row")]
     mixed = mix_sized(store(columns.select(*sizes), "mix-sizes"), cycle, repeats, keep_place=True)

@@ -141,7 +141,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, to
     sorted parts (one number for each) go through the driver.
     """
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    ids = store(encoded(docs, tokenizer), "encoded")
+    ids = store(encoded(docs, tokenizer), "encoded", "zstd")
     total = ids.agg(F.sum("n")).head()[0] or 0
     parts = max(1, min(MOST_PARTS, -(-total // tokens_per_task)), min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 200_000))
 
@@ -154,7 +154,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, to
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(begin)], ["doc_id", "n", "ids", "part", "begin"])
 
     ranged = ids.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER).select("doc_id", "n", "ids")
-    laid = store(map_batches(ranged, lay, f"doc_id {kind}, n long, ids binary, part int, begin long"), "laid")
+    laid = store(map_batches(ranged, lay, f"doc_id {kind}, n long, ids binary, part int, begin long"), "laid", "zstd")
     sums = laid.groupBy("part").agg(F.sum("n").alias("n")).collect()  # MOST_PARTS rows, or shuffle partitions, at most
     size = np.zeros(max((r["part"] for r in sums), default=-1) + 1, np.int64)
     for r in sums:

@@ -230,7 +230,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     or have none, count apart. Only keys and fingerprints are compared and joined; each text is
     written with its key and shuffled once.
     """
-    keyed = store(docs.withColumn("_row_key", F.monotonically_increasing_id()), "keyed")
+    keyed = store(docs.withColumn("_row_key", F.monotonically_increasing_id()), "keyed", "zstd")
     rows = store(fingerprints(keyed, "doc_id", "text", "_row_key"), "fingerprints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row_key")).alias("low")
     per_fp = store(rows.groupBy("fp").agg(least), "distinct")
