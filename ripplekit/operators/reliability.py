@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..schema import SEED, u01
+from ..sources.readers import dense_ids
 from . import worlds as W
 
 #: A whole uncertain graph that one task or the driver may hold, in edges.
@@ -127,16 +128,24 @@ def discrepancy(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def random_pairs(nodes: DataFrame, n: int, seed: int = SEED) -> DataFrame:
-    """n different pairs u < v in hash order. Each node draws n candidate partners, so all pairs are never listed."""
-    total = nodes.count()
-    if total * (total - 1) // 2 <= 2_000_000:
-        other = nodes.select(F.col("node").alias("v"))
-        all_ = nodes.select(F.col("node").alias("u")).join(other, F.col("u") < F.col("v"))
-        return all_.orderBy(u01(seed, "pair", F.col("u"), F.col("v")), "u", "v").limit(n)
-    ranked = nodes.select("node", u01(seed, "rank", F.col("node")).alias("h")).orderBy("h", "node").limit(2 * n)
-    place = ranked.select("node", (F.row_number().over(Window.orderBy("h", "node")) - 1).alias("i"))
-    a, b = place.where("i % 2 = 0").select((F.col("i") / 2).cast("long").alias("j"), F.col("node").alias("a")), place.where("i % 2 = 1").select(((F.col("i") - 1) / 2).cast("long").alias("j"), F.col("node").alias("b"))
-    return a.join(b, "j").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    """n different pairs u < v, or all pairs where there are no more.
+
+    Draw k takes the nodes at two hashed places of the id order. Draws of one node and of a pair that
+    was drawn before are passed over, and the first n of the others count, whatever the number of nodes
+    (up to 2**32, the coin's resolution). So about 2n draws are made and all pairs are never listed.
+    """
+    ranks = dense_ids(nodes.select("node").distinct(), "node", ["node"])
+    total = ranks.count()
+    a, b = ranks.select(F.col("id").alias("x"), F.col("node").alias("u")), ranks.select(F.col("id").alias("y"), F.col("node").alias("v"))
+    if total * (total - 1) // 2 <= n:
+        return a.join(b, F.col("x") < F.col("y")).select("u", "v")  # n rows at most
+    draws = 2 * n + 16
+    while True:
+        places = nodes.sparkSession.range(draws).select(F.col("id").alias("k"), *[F.floor(u01(seed, tag, F.col("id")) * total).alias(tag) for tag in ("pa", "pb")]).where("pa <> pb")
+        pairs = places.groupBy(F.least("pa", "pb").alias("x"), F.greatest("pa", "pb").alias("y")).agg(F.min("k").alias("k"))
+        if pairs.count() >= n:
+            return pairs.orderBy("k").limit(n).join(a, "x").join(b, "y").select("u", "v")
+        draws *= 2
 
 
 def error_curve(edges: DataFrame, u: int, v: int, truth: float, worlds: int, seed: int = SEED) -> DataFrame:

@@ -53,7 +53,9 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
     "fclose": (("fboth",), "SELECT DISTINCT world, src AS node, src AS lab FROM fboth UNION SELECT c.world, l.dst, c.lab FROM fclose c JOIN fboth l ON l.world = c.world AND l.src = c.node"),
     "fcomps": (("fclose",), "SELECT world, node, min(lab) AS comp FROM fclose GROUP BY 1, 2"),
     "frel": (("fcomps",), f"SELECT a.node AS u, b.node AS v, count(*) / {R}.0::DOUBLE AS r FROM fcomps a JOIN fcomps b ON a.world = b.world AND a.comp = b.comp AND a.node < b.node GROUP BY 1, 2"),
-    "pair_order": (("nnodes",), f"SELECT u, v, row_number() OVER (ORDER BY {u('42', chr(39) + 'pair' + chr(39), 'u', 'v')}, u, v) AS k FROM (SELECT a.node AS u, b.node AS v FROM nnodes a JOIN nnodes b ON a.node < b.node)"),
+    "place": (("nnodes",), "SELECT node, row_number() OVER (ORDER BY node) - 1 AS i, count(*) OVER () AS n FROM nnodes"),
+    "draws": (("place",), f"SELECT k, floor({u('42', chr(39) + 'pa' + chr(39), 'k')} * n)::BIGINT AS a, floor({u('42', chr(39) + 'pb' + chr(39), 'k')} * n)::BIGINT AS b FROM range(0, 5000) r(k), (SELECT max(n) AS n FROM place)"),
+    "pair_order": (("place", "draws"), "SELECT x.node AS u, y.node AS v, row_number() OVER (ORDER BY min(k)) AS k FROM draws JOIN place x ON x.i = least(a, b) JOIN place y ON y.i = greatest(a, b) WHERE a <> b GROUP BY 1, 2"),
     "one_world": (("fcomps",), "SELECT node, comp FROM fcomps WHERE world = 0"),
     "degree": (("faint",), "SELECT node, sum(p) AS d FROM (SELECT src AS node, p FROM faint UNION ALL SELECT dst, p FROM faint) GROUP BY 1"),
     "top60": (("faint",), "SELECT src, dst, p FROM faint ORDER BY p DESC, src, dst LIMIT 60"),
@@ -202,7 +204,7 @@ ORACLE_SQL: dict[str, str] = {
     "s06_adjacency_reader": with_blocks("SELECT src, dst, 1::BIGINT AS w FROM arcs", "arcs"),
     "s07_remap_ids": with_blocks("SELECT 1000000 - src * 7 AS src, 1000000 - dst * 7 AS dst, w FROM und", "und"),
     "s08_uncertain_reader": with_blocks("SELECT src, dst, p, round(-ln(p), 6) AS cost FROM arcs_p WHERE src < dst", "arcs_p"),
-    "s09_edge_probability_reader": with_blocks("SELECT src, dst, w, p FROM arcs_p WHERE w > 1", "arcs_p"),
+    "s09_edge_probability_reader": with_blocks("SELECT src, dst, w, p FROM arcs_p", "arcs_p"),
     "s10_stored_graph": with_blocks("SELECT n.node, sum(a.w)::BIGINT AS w FROM nodes n LEFT JOIN arcs a ON a.src = n.node GROUP BY 1", "nodes"),
     "s11_reliability_reader": with_blocks("SELECT src AS u, dst AS v, p AS r FROM faint", "faint"),
     "s12_named_reader": with_blocks(
@@ -222,15 +224,15 @@ ORACLE_SQL: dict[str, str] = {
     "s22_lp_solution": with_blocks("SELECT src, dst, round(col / 1000.0::DOUBLE, 6) AS p FROM cls", "degree", extra=_lp),
     "e01_clean_graph": with_blocks("SELECT a.new AS src, b.new AS dst FROM lines l JOIN first a ON a.old = l.src JOIN first b ON b.old = l.dst", "first"),
     "e02_relabel_actions": with_blocks(
-        "SELECT a.new AS src, b.new AS dst, e.event_id AS action FROM ev e JOIN few b ON b.old = e.dst LEFT JOIN few a ON a.old = e.src WHERE e.src IS NULL OR (a.new IS NOT NULL AND e.src <> e.dst)", "lines",
-        extra="ev AS (SELECT CASE WHEN event_id % 3 <> 0 THEN user_id + 1 END AS src, user_id AS dst, event_id FROM events WHERE event_id % 10 = 0), few AS (SELECT node AS old, row_number() OVER (ORDER BY min(k)) - 1 AS new FROM (SELECT 2 * line AS k, src AS node FROM lines WHERE line < 2000 UNION ALL SELECT 2 * line + 1, dst FROM lines WHERE line < 2000) GROUP BY node)"),
+        "SELECT a.new AS src, b.new AS dst, e.event_id AS action FROM ev e JOIN first b ON b.old = e.dst LEFT JOIN first a ON a.old = e.src WHERE e.src IS NULL OR (a.new IS NOT NULL AND e.src <> e.dst)", "first",
+        extra="ev AS (SELECT CASE WHEN event_id % 3 <> 0 THEN user_id + 1 END AS src, user_id AS dst, event_id FROM events)"),
     "e03_prune": with_blocks("SELECT src, dst FROM lines WHERE src IN (SELECT node FROM kept) AND dst IN (SELECT node FROM kept)", "lines", extra="seen AS (SELECT src AS node, 2 * line AS k FROM lines UNION ALL SELECT dst, 2 * line + 1 FROM lines), kept AS MATERIALIZED (SELECT node FROM seen GROUP BY node ORDER BY min(k) LIMIT 40)"),
     "e05_almost_equal": with_blocks("SELECT src, dst, abs(p - 0.02::DOUBLE) < 0.011::DOUBLE AS equal FROM arcs_p", "arcs_p"),
     "e06_ego_edges": with_blocks(
         "SELECT DISTINCT src, dst, w FROM (SELECT node AS src, node AS dst, 1::BIGINT AS w FROM useeds UNION ALL SELECT * FROM b WHERE src IN (SELECT node FROM useeds) UNION ALL SELECT * FROM b WHERE src IN (SELECT node FROM useeds UNION SELECT dst FROM b WHERE src IN (SELECT node FROM useeds)))", "useeds",
         extra=f"l AS MATERIALIZED (SELECT src, dst FROM und WHERE {u('42', '0', 'src', 'dst')} <= 1 - pow(1 - 0.02::DOUBLE, w)), b AS MATERIALIZED (SELECT src, dst, 1::BIGINT AS w FROM l UNION ALL SELECT dst, src, 1 FROM l)"),
     "e07_spread_edges": with_blocks(
-        "SELECT e.src, e.dst, e.w, a.level AS from_level, b.level AS to_level, CASE WHEN b.level IS NULL THEN 'star' ELSE 'spread' END AS role FROM arcs e JOIN l a ON a.node = e.src LEFT JOIN l b ON b.node = e.dst WHERE e.w > 2 AND (a.level = 0 OR a.level < b.level)", "levels",
+        "SELECT e.src, e.dst, e.w, a.level AS from_level, b.level AS to_level, CASE WHEN b.level IS NULL THEN 'star' ELSE 'spread' END AS role FROM arcs e JOIN l a ON a.node = e.src LEFT JOIN l b ON b.node = e.dst WHERE (a.level = 0 OR a.level < b.level)", "levels",
         extra="l AS (SELECT node, level FROM levels WHERE world = 0)"),
     "e08_mean_probability": with_blocks("SELECT a.src, a.dst, round((a.p + b.p) / 2, 6) AS p FROM arcs_p a JOIN arcs_p b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst", "arcs_p"),
     "e09_percentage_difference": with_blocks(
@@ -304,7 +306,10 @@ ORACLE_SQL: dict[str, str] = {
         extra=f"t AS MATERIALIZED (SELECT src AS node FROM arcs GROUP BY 1 ORDER BY sum(w) DESC, 1 LIMIT 8), p AS (SELECT x.node AS a, y.node AS b FROM t x JOIN t y ON x.node < y.node), z AS (SELECT world::INT AS world, node AS u, node AS v FROM t, range(0, {R}) r(world) UNION SELECT z.world, z.u, l.dst FROM z JOIN live l ON l.world = z.world AND l.src = z.v)"),
     "k24_degree_inside": with_blocks("SELECT (row_number() OVER (ORDER BY s DESC, node))::INT AS rank, node, s AS score FROM (SELECT src AS node, sum(w)::DOUBLE AS s FROM sym WHERE src % 2 = 0 AND dst % 2 = 0 GROUP BY 1) ORDER BY s DESC, node LIMIT 5", "sym"),
     "z01_degree_discount": fewest(f"SELECT rank, node FROM ({_dd_picks})", "sym", extra=_dd),
+    # doubling meets 1, 2, 4 and 6 seeds; bisection then probes 3, or 4 and 5
+    "z02_step_and_bisect": fewest(f"SELECT rank, node FROM ({_dd_picks})", "sym", extra=_dd, columns="target, k::INT AS k, list_extract([1, 2, 4, 4, 6, 6], k)::INT AS steps"),
     "z03_stop_at_target": fewest(f"SELECT rank, node FROM ({_dd_picks})", "sym", extra=_dd, columns="target, k::BIGINT AS k") + " WHERE target = 12",
+    "z04_new_greedy": fewest(f"SELECT rank, node FROM ({_ng_picks})", "und", "unodes", extra=_ng) + " WHERE target = 12",
     "z05_reverse_ccwp": reverse("r.place <= greatest(floor(n.L * 2.3::DOUBLE), 1)", "1 / (k.size * k.L)::DOUBLE"),
     "z06_reverse_ccwp_least": reverse("r.size >= 3", "1 / (k.size * k.L)::DOUBLE"),
     "z07_reverse_ccwp_arcs": reverse("r.size >= 3", "1 / (k.size * qualified)::DOUBLE", 2, "sym_p"),
@@ -339,11 +344,13 @@ ORACLE_SQL: dict[str, str] = {
         extra="g AS (SELECT * FROM faint WHERE NOT EXISTS (SELECT 1 FROM top60 t WHERE t.src = faint.src AND t.dst = faint.dst)), x AS (SELECT node, sum(p) / 2 AS x FROM (SELECT src AS node, p FROM g UNION ALL SELECT dst, p FROM g) GROUP BY 1), n AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM top60 UNION ALL SELECT dst FROM top60) GROUP BY 1), s AS (SELECT node, x / n AS x FROM x JOIN n USING (node))"),
     "r23b_degree_error": with_blocks("SELECT round(avg(abs(coalesce(d.d, 0) - coalesce(h.d, 0))), 6) AS mae FROM degree d FULL JOIN h ON h.node = d.node", "degree", "top60", extra="h AS (SELECT node, sum(p) AS d FROM (SELECT src AS node, p FROM top60 UNION ALL SELECT dst, p FROM top60) GROUP BY 1)"),
     "h01_pop_order": with_blocks("SELECT (row_number() OVER (ORDER BY s DESC, node))::INT AS rank, node, s AS score FROM (SELECT src AS node, sum(w)::DOUBLE AS s FROM arcs GROUP BY 1) ORDER BY s DESC, node LIMIT 20", "arcs"),
+    "h03_by_value": with_blocks("SELECT src AS node, sum(w)::DOUBLE AS score FROM arcs GROUP BY 1", "arcs"),
+    "h04_timed": with_blocks("SELECT 'count' AS block, true AS timed, count(*) AS n FROM arcs", "arcs"),
     "h02_defaults": with_blocks("SELECT src, round(coalesce(avg(CASE WHEN w > 2 THEN w END), 0), 6) AS mean, coalesce(min(CASE WHEN w > 1 THEN w END)::DOUBLE, 'inf'::DOUBLE) AS least FROM arcs GROUP BY 1", "arcs"),
     "h05_flatten": with_blocks("SELECT src % 5 AS part, count(*) AS n FROM arcs GROUP BY 1", "arcs"),
     "h06_graph_statistics": with_blocks(
         "SELECT count(*) AS nodes, (sum(d) / 2)::BIGINT AS edges, round(avg(d), 6) AS mean_degree, max(d) AS max_degree, (SELECT n FROM tri) AS triangles, round(CASE WHEN sum(d * (d - 1)) > 0 THEN 3 * (SELECT n FROM tri) / (sum(d * (d - 1)) / 2)::DOUBLE ELSE 0 END, 6) AS clustering FROM deg", "und",
-        extra="e AS (SELECT src, dst FROM und WHERE w > 1), deg AS (SELECT node, count(*) AS d FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1), tri AS (SELECT count(*) AS n FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = a.src AND c.dst = b.dst)"),
+        extra="e AS (SELECT src, dst FROM und), deg AS (SELECT node, count(*) AS d FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1), tri AS (SELECT count(*) AS n FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = a.src AND c.dst = b.dst)"),
     "h07_summary": with_blocks("SELECT round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std, round(quantile_cont(n::DOUBLE, 0.5), 6) AS median FROM (SELECT world, count(*) AS n FROM reach GROUP BY 1)", "reach"),
     "h08_plot_series": with_blocks(
         f"SELECT 'p=.01' AS series, s.rank::DOUBLE AS x, round(sum(count(f.node)) OVER (ORDER BY s.rank) / {R}.0::DOUBLE, 6) AS y FROM seeds s LEFT JOIN f ON f.rank = s.rank GROUP BY s.rank UNION ALL SELECT 'p=.02', s.rank::DOUBLE, round(sum(count(h.node)) OVER (ORDER BY s.rank) / {R}.0::DOUBLE, 6) FROM seeds s LEFT JOIN h ON h.rank = s.rank GROUP BY s.rank", "ranks", "ranks2",
