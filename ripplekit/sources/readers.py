@@ -11,15 +11,17 @@ PAIR, TRIPLE = "src long, dst long", "src long, dst long, p double"
 
 
 def line_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """(line from 0, value) of one text file, numbered in file order without gathering it.
+    """(line from 0, value) of a text file, or of a folder's files in order of their names, numbered
+    without gathering them.
 
-    Row ids hold the split and the place in it; the sizes of the splits before are added.
+    Lines are numbered inside each block of a file; the sizes of the blocks before are added (one row
+    for each block).
     """
-    rows = spark.read.text(path).withColumn("id", F.monotonically_increasing_id())
-    rows = rows.select(F.rtrim(F.regexp_replace("value", "\r$", "")).alias("value"), F.shiftright("id", 33).alias("part"), F.expr("id & 8589934591").alias("at"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("part").agg((F.max("at") + 1).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return rows.join(sizes, "part").select((F.col("at") + F.col("before")).alias("line"), "value")
+    rows = spark.read.text(path).select(F.rtrim(F.regexp_replace("value", "\r$", "")).alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    blocks = blocks.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.join(blocks, ["file", "block"]).select((F.col("id") + F.col("shift")).alias("line"), "value")
 
 
 def fields(rows: DataFrame, value: str = "value") -> DataFrame:

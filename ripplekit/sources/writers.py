@@ -7,25 +7,25 @@ from pyspark.sql import functions as F
 
 
 def write_lines(df: DataFrame, path: str, *cols: str) -> str:
-    """Space-separated lines in one file, in the order of the columns (for formats with line numbers)."""
-    df.orderBy(*cols).select(F.concat_ws(" ", *[F.col(c).cast("string") for c in cols]).alias("value")).coalesce(1).write.text(path)
+    """Space-separated lines in the order of the columns, range-sorted into part files whose names follow it."""
+    df.orderBy(*cols).select(F.concat_ws(" ", *[F.col(c).cast("string") for c in cols]).alias("value")).write.text(path)
     return path
 
 
 def write_multigraph(edges: DataFrame, path: str) -> str:
-    """Header ``n m``, then each edge as often as its multiplicity."""
+    """Header ``n m``, then each edge as often as its multiplicity, in part files in order."""
     n = edges.select(F.explode(F.array("src", "dst")).alias("v")).distinct().agg(F.count("*").alias("n"))
     m = edges.agg(F.sum("w").alias("m"))
     head = n.crossJoin(m).select(F.lit(0).alias("o"), F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("dst"), F.concat_ws(" ", F.col("n").cast("string"), F.col("m").cast("string")).alias("value"))
     body = edges.select(F.lit(1).alias("o"), "src", "dst", F.explode(F.array_repeat(F.concat_ws(" ", F.col("src").cast("string"), F.col("dst").cast("string")), F.col("w").cast("int"))).alias("value"))
-    head.unionByName(body).orderBy("o", "src", "dst").select("value").coalesce(1).write.text(path)
+    head.unionByName(body).orderBy("o", "src", "dst").select("value").write.text(path)
     return path
 
 
 def write_adjacency(edges: DataFrame, n: int, path: str) -> str:
     lists = edges.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("to"))
     rows = edges.sparkSession.range(n).withColumnRenamed("id", "src").join(lists, "src", "left")
-    rows.orderBy("src").select(F.coalesce(F.concat_ws(" ", F.transform("to", lambda x: x.cast("string"))), F.lit("")).alias("value")).coalesce(1).write.text(path)
+    rows.orderBy("src").select(F.coalesce(F.concat_ws(" ", F.transform("to", lambda x: x.cast("string"))), F.lit("")).alias("value")).write.text(path)
     return path
 
 
