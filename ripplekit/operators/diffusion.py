@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -64,11 +66,11 @@ def thresholds(nodes: DataFrame, worlds: int, seed: int = SEED) -> DataFrame:
     return rows.select("world", "node", u01(seed, "thr", F.col("world"), F.col("node")).alias("threshold"))
 
 
-def linear_threshold(edges: DataFrame, seeds: DataFrame, worlds: int, levels: int = 1000, seed: int = SEED) -> DataFrame:
+def linear_threshold(edges: DataFrame, seeds: DataFrame, worlds: int, levels: int | None = None, seed: int = SEED) -> DataFrame:
     """(world, node, level): a node is activated when b * w of its active predecessors reach its threshold.
 
-    The graph is one for all worlds, so it goes to each task, which runs some of the worlds; ``levels``
-    bounds the rounds. Weights are rounded to 12 digits, so that summation order can't decide.
+    The graph is one for all worlds, so it goes to each task, which runs some of the worlds; rounds go on
+    until nothing changes, or for ``levels`` where that is given. Weights are rounded to 12 digits, so that summation order can't decide.
     """
     rows = edges.select("src", "dst", F.round(F.col("b") * F.col("w"), 12).alias("x"))
     if rows.count() > W.KERNEL_EDGES:
@@ -85,7 +87,7 @@ def linear_threshold(edges: DataFrame, seeds: DataFrame, worlds: int, levels: in
         a, b, x, nodes, start = shared.value
         theta = pdf.sort_values("node")["threshold"].to_numpy()
         level = np.where(np.isin(nodes, start), 0, -1)
-        for step in range(1, levels + 1):
+        for step in itertools.count(1) if levels is None else range(1, levels + 1):
             pull = np.bincount(b, x * (level[a] >= 0), len(nodes))
             new = (level < 0) & (pull > 0) & (np.round(pull, 9) >= theta)
             if not new.any():
@@ -97,15 +99,17 @@ def linear_threshold(edges: DataFrame, seeds: DataFrame, worlds: int, levels: in
     return draws.groupBy("world").applyInPandas(run, "world int, node long, level int")
 
 
-def _linear_threshold_by_joins(rows: DataFrame, seeds: DataFrame, worlds: int, levels: int, seed: int) -> DataFrame:
-    from ..storage import store
+def _linear_threshold_by_joins(rows: DataFrame, seeds: DataFrame, worlds: int, levels: int | None, seed: int) -> DataFrame:
+    from ..storage import drop, store
 
     active = store(seeds.select("node").distinct().withColumn("world", F.explode(F.sequence(F.lit(0), F.lit(worlds - 1)))).select("world", "node", F.lit(0).alias("level")), "lt")
-    for step in range(1, levels + 1):
+    for step in itertools.count(1) if levels is None else range(1, levels + 1):
         pull = rows.join(active.select("world", F.col("node").alias("src")), "src").groupBy("world", F.col("dst").alias("node")).agg(F.round(F.sum("x"), 9).alias("pull"))
         due = pull.where(F.col("pull") >= u01(seed, "thr", F.col("world"), F.col("node"))).join(active.select("world", "node"), ["world", "node"], "left_anti")
         new = store(due.select("world", "node", F.lit(step).alias("level")), "lt")
         if new.isEmpty():
             break
-        active = store(active.unionByName(new), "lt")
+        before, active = active, store(active.unionByName(new), "lt")
+        drop(before)
+        drop(new)
     return active

@@ -850,6 +850,19 @@ def h02_defaults(g):
     return rounded(g.arcs.groupBy("src").agg(H.mean_or_zero(F.when(F.col("w") > 2, F.col("w"))).alias("mean"), H.min_or_infinity(F.when(F.col("w") > 1, F.col("w"))).alias("least")), "mean")
 
 
+@graphs
+def h03_by_value(g):
+    return H.by_value(K.degrees(g.arcs), descending=False)
+
+
+@graphs
+def h04_timed(g):
+    seconds: dict[str, float] = {}
+    with H.timed(seconds, "count"):
+        n = g.arcs.count()
+    return g.spark.createDataFrame([("count", seconds["count"] > 0, n)], "block string, timed boolean, n long")
+
+
 @graphs
 def h05_flatten(g):
     lists = g.arcs.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("to")).groupBy((F.col("src") % 5).alias("part"))
