@@ -15,7 +15,7 @@ from . import worlds as W
 
 def cascade(edges: DataFrame, seeds: DataFrame, worlds: int, p: Column | float = P, undirected: bool = False, seed: int = SEED) -> DataFrame:
     """(world, node, level): nodes that seeds activate. An edge gets one try, so a world's live edges decide."""
-    return W.reach(W.live_edges(edges, worlds, p, seed), seeds, worlds, undirected)
+    return W.reach(W.live_edges(edges, worlds, p, seed), seeds, worlds, undirected, W.few(edges) or None)
 
 
 def mean_spread(active: DataFrame, worlds: int) -> DataFrame:
@@ -25,7 +25,7 @@ def mean_spread(active: DataFrame, worlds: int) -> DataFrame:
 
 def spread_curve(edges: DataFrame, seeds: DataFrame, worlds: int, p: Column | float = P, undirected: bool = False, seed: int = SEED) -> DataFrame:
     """(k, spread) for all prefixes of ordered seeds (rank from 1, node), in one job."""
-    reached = W.first_seed_rank(W.live_edges(edges, worlds, p, seed), seeds, worlds, undirected)
+    reached = W.first_seed_rank(W.live_edges(edges, worlds, p, seed), seeds, worlds, undirected, W.few(edges) or None)
     gains = seeds.select(F.col("rank").cast("long").alias("k")).join(reached.groupBy(F.col("rank").alias("k")).agg(F.count("*").alias("n")), "k", "left")
     total = F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
     return gains.select("k", (total / F.lit(worlds)).alias("spread"))
@@ -41,6 +41,9 @@ def spread_by_worlds(active: DataFrame, worlds: int) -> DataFrame:
 def spread_of_sets(edges: DataFrame, sets: DataFrame, worlds: int, p: Column | float = P, seed: int = SEED) -> DataFrame:
     """(set, spread) of stored seed sets (set, node), over the same worlds."""
     live = W.live_edges(edges, worlds, p, seed)
+    if not (W.few(edges) or W.fits(live)):
+        reached = W.reach_of_sets(live, sets, worlds)
+        return reached.groupBy("set").agg((F.count("*") / F.lit(worlds)).alias("spread"))
     held = {k: np.array(v) for k, v in ((r["set"], r["nodes"]) for r in sets.groupBy("set").agg(F.collect_set("node").alias("nodes")).collect())}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -87,7 +87,7 @@ def pmia(arcs: DataFrame, k: int, theta: float = 1 / 20) -> DataFrame:
                 rows = [r for v in pdf["root"] for r in tree_state(influence_tree(shared.value, v, theta, set(seeds), barred.get(v, set())), v, set(seeds))]
                 yield pd.DataFrame(rows, columns=["root", "node", "alpha", "ap", "gain"])
 
-        return which.repartition(16).mapInPandas(run, STATE)
+        return which.repartition(which.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, STATE)
 
     def blocked(which: DataFrame, seeds: list[int], barred: dict[int, set[int]], u: int) -> dict[int, list[int]]:
         """Seeds whose path to a root leads over u."""
@@ -106,7 +106,7 @@ def pmia(arcs: DataFrame, k: int, theta: float = 1 / 20) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["root", "seed"])
 
         out: dict[int, list[int]] = {}
-        for r in which.repartition(16).mapInPandas(run, "root long, seed long").collect():
+        for r in which.repartition(which.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "root long, seed long").collect():
             out.setdefault(r["root"], []).append(r["seed"])
         return out
 
@@ -201,7 +201,7 @@ def ldag(arcs: DataFrame, k: int, theta: float = 1 / 320) -> DataFrame:
                 rows = [r for v in pdf["root"] for r in dag_state(local_dag(shared.value, v, theta), v, set(seeds))]
                 yield pd.DataFrame(rows, columns=["root", "node", "alpha", "ap", "gain"])
 
-        return which.repartition(16).mapInPandas(run, STATE)
+        return which.repartition(which.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, STATE)
 
     state = store(make(roots, seeds), "ldag")
     for rank in range(1, k + 1):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..schema import SEED, u01
 from ..sources.readers import dense_ids
+from ..storage import drop, store
 from . import worlds as W
 
 #: A whole uncertain graph that one task or the driver may hold, in edges.
@@ -38,6 +40,8 @@ def on_one_task(edges: DataFrame, fn, schema: str) -> DataFrame:
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """The most probable spanning forest (src, dst, p): least -ln p, ties by (src, dst)."""
+    if edges.count() > KERNEL_EDGES:
+        return forest_by_rounds(edges)
 
     def run(rows):
         return [(u, v, p) for (u, v, p) in _forest(rows)]
@@ -45,6 +49,26 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     return on_one_task(edges, run, "src long, dst long, p double")
 
 
+def forest_by_rounds(edges: DataFrame) -> DataFrame:
+    """The same forest by joins: in a round every component takes its first edge to another, and merges.
+
+    The order of edges is total, so no round closes a circle; components halve at least.
+    """
+    left, taken = store(edges.select("src", "dst", "p", F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b"), "left"), []
+    while not left.isEmpty():
+        edge = F.struct((-F.col("p")).alias("cost"), "src", "dst", "a", "b")
+        first = left.select(F.explode(F.array("a", "b")).alias("comp"), edge.alias("e")).groupBy("comp").agg(F.min("e").alias("e"))
+        pick = store(first.select("e.*").distinct(), "forest")
+        taken.append(pick)
+        comps = W.components(pick.select(F.lit(0).alias("world"), F.col("a").alias("src"), F.col("b").alias("dst")))
+        for end in ("a", "b"):
+            left = left.join(comps.select(F.col("node").alias(end), F.col("comp").alias(f"new_{end}")), end)
+        left = store(left.where("new_a <> new_b").select("src", "dst", "p", F.col("new_a").alias("a"), F.col("new_b").alias("b")), "left")
+    if not taken:
+        return edges.select("src", "dst", "p").limit(0)
+    return reduce(DataFrame.unionByName, taken).select("src", "dst", (-F.col("cost")).alias("p"))
+
+
 def _forest(rows: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
     p = {(u, v): x for u, v, x in rows}
     return [(u, v, p[u, v]) for _, u, v in kernels.spanning_forest([(-x, u, v) for u, v, x in rows])]
@@ -52,7 +76,7 @@ def _forest(rows: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
 
 def peeled_forests(rows: list[tuple[int, int, float]]) -> list[list[tuple[int, int, float]]]:
     """Forests taken off one after another until no edge is left."""
-    out, left = [], rows
+    out, left = [], [e for e in rows if e[0] != e[1]]
     while left:
         forest = _forest(left)
         out.append(forest)
@@ -63,9 +87,23 @@ def peeled_forests(rows: list[tuple[int, int, float]]) -> list[list[tuple[int, i
 
 def forests(edges: DataFrame) -> DataFrame:
     """(tree, src, dst, p): all peeled forests, numbered from 0."""
+    if edges.count() > KERNEL_EDGES:
+        return peel_by_rounds(edges)
     return on_one_task(edges, lambda rows: [(i, *e) for i, f in enumerate(peeled_forests(rows)) for e in f], "tree long, src long, dst long, p double")
 
 
+def peel_by_rounds(edges: DataFrame) -> DataFrame:
+    """The same forests, each by rounds over the edges that those before left."""
+    left, out = store(edges.select("src", "dst", "p").where("src <> dst"), "left"), []
+    while not left.isEmpty():
+        forest = store(forest_by_rounds(left), "forest")
+        out.append(forest.select(F.lit(len(out)).cast("long").alias("tree"), "src", "dst", "p"))
+        rest = store(left.join(forest.select("src", "dst"), ["src", "dst"], "left_anti"), "left")
+        drop(left)
+        left = rest
+    return reduce(DataFrame.unionByName, out) if out else left.select(F.lit(0).cast("long").alias("tree"), "src", "dst", "p")
+
+
 def tree_reliability(forest: DataFrame, pairs: DataFrame) -> DataFrame:
     """(u, v, r) of pairs (u, v): the product of p along the only path, 0 if there is none.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..schema import P, SEED, fires, u01
+from ..storage import drop, store
 from . import diffusion, worlds as W
 
 SEEDS = "rank int, node long, score double"
@@ -35,91 +36,63 @@ def random_nodes(nodes: DataFrame, k: int, seed: int = SEED) -> DataFrame:
     return best.select(F.row_number().over(Window.orderBy("score", "node")).alias("rank"), "node", "score")
 
 
-def _greedy(scores: DataFrame, edges: DataFrame, k: int, update) -> DataFrame:
-    """k rounds: take the best node, then change the scores of its neighbours by their edge.
+def _greedy(scores: DataFrame, arcs: DataFrame, k: int, score: Column, **change: Column) -> DataFrame:
+    """k rounds: take the best node, then change the scores of its neighbours by their arcs.
 
-    scores (node, score, ...); edges (src, dst, w, ...), arcs both ways if undirected. Only the best row
-    and its arcs come to the driver in a round: the changed state of the neighbours of the seeds taken
-    so far is kept there (their number is bounded by the sum of k degrees), all else stays in the table.
+    scores (node, score, ...); arcs (src, dst, w, ...), both ways if undirected. In a round the arcs of the
+    seeds taken so far are aggregated by neighbour (``change``: name and aggregate), and ``score`` makes
+    a neighbour's score of these and the columns of scores. Both tables are written to the shared folder
+    once, arcs sorted by src in each part, so that a round reads the row groups with seeds; the driver
+    gets one row a round and holds k seeds.
     """
     spark = scores.sparkSession
-    scores, edges = scores.persist(), edges.persist()
-    state: dict[int, dict] = {}
+    scores, arcs = store(scores, "scores"), store(arcs.sortWithinPartitions("src"), "arcs")
     taken: list[tuple[int, int, float]] = []
-    chosen: set[int] = set()
     for rank in range(1, k + 1):
-        # no more than len(state) + len(chosen) + 1 stored rows can stand before the best untouched one
-        skip = spark.createDataFrame([(n,) for n in [*state, *chosen]] or [(-1,)], "node long")
-        rest = scores.join(F.broadcast(skip), "node", "left_anti").withColumn("_r", F.round("score", 9)).orderBy(F.desc("_r"), "node").limit(1).collect()
-        heap = [(-round(s["score"], 9), n) for n, s in state.items() if n not in chosen] + [(-r["_r"], r["node"]) for r in rest]
-        if not heap:
+        rows = scores
+        if taken:
+            chosen = [n for _, n, _ in taken]
+            hit = arcs.where(F.col("src").isin(chosen)).groupBy(F.col("dst").alias("node")).agg(*[agg.alias(name) for name, agg in change.items()], F.first(F.lit(True)).alias("_hit"))
+            rows = scores.where(~F.col("node").isin(chosen)).join(hit, "node", "left").withColumn("score", F.when(F.col("_hit"), score).otherwise(F.col("score")))
+        best = top(rows, 1).collect()
+        if not best:
             break
-        score, node = min(heap)
-        taken.append((rank, int(node), -score))
-        chosen.add(node)
-        arcs = [r.asDict() for r in edges.where(F.col("src") == int(node)).collect()]
-        new = [a["dst"] for a in arcs if a["dst"] not in chosen and a["dst"] not in state]
-        if new:
-            known = spark.createDataFrame([(int(n),) for n in new], "node long")
-            for r in scores.join(F.broadcast(known), "node").collect():
-                state[r["node"]] = r.asDict()
-        for a in arcs:
-            if a["dst"] not in chosen and a["dst"] in state:  # a node without a score has none to change
-                update(state[a["dst"]], a)
-    scores.unpersist()
-    edges.unpersist()
+        taken.append((rank, best[0]["node"], best[0]["score"]))
+    drop(scores)
+    drop(arcs)
     return spark.createDataFrame(taken, SEEDS)
 
 
 def single_discount(arcs: DataFrame, k: int) -> DataFrame:
     """A neighbour's degree falls by the weight of its edge to a seed."""
-
-    def update(s: dict, a: dict) -> None:
-        s["score"] -= a["w"]
-
-    return _greedy(degrees(arcs), arcs, k, update)
+    return _greedy(degrees(arcs), arcs, k, F.col("score") - F.col("t"), t=F.sum("w"))
 
 
 def degree_discount(arcs: DataFrame, k: int, p: float = P) -> DataFrame:
     """Score d - 2t - (d - t) t p, where t counts edges to seeds."""
-
-    def update(s: dict, a: dict) -> None:
-        s["t"] += a["w"]
-        s["score"] = s["d"] - 2 * s["t"] - (s["d"] - s["t"]) * s["t"] * p
-
-    return _greedy(degrees(arcs).select("node", "score", F.col("score").alias("d"), F.lit(0.0).alias("t")), arcs, k, update)
+    d, t = F.col("score"), F.col("t")
+    return _greedy(degrees(arcs), arcs, k, d - 2 * t - (d - t) * t * p, t=F.sum("w"))
 
 
 def degree_discount_star(arcs: DataFrame, k: int, p: float = P) -> DataFrame:
     """Score (1 - p)^t (1 + (d - t) p)."""
-
-    def update(s: dict, a: dict) -> None:
-        s["t"] += a["w"]
-        s["score"] = (1 - p) ** s["t"] * (1 + (s["d"] - s["t"]) * p)
-
-    start = degrees(arcs).select("node", (1 + F.col("score") * p).alias("score"), F.col("score").alias("d"), F.lit(0.0).alias("t"))
-    return _greedy(start, arcs, k, update)
+    d, t = F.col("d"), F.col("t")
+    start = degrees(arcs).select("node", (1 + F.col("score") * p).alias("score"), F.col("score").alias("d"))
+    return _greedy(start, arcs, k, F.pow(F.lit(1 - p), t) * (1 + (d - t) * p), t=F.sum("w"))
 
 
 def general_discount(arcs: DataFrame, k: int) -> DataFrame:
     """Score active * (1 + inactive) on arcs with p: the chance to be inactive still, and the mean of those it activates."""
-
-    def update(s: dict, a: dict) -> None:
-        s["active"] *= (1 - a["p"]) ** a["w"]
-        s["inactive"] -= 1 - (1 - a["p"]) ** a["w"]
-        s["score"] = s["active"] * (1 + s["inactive"])
-
     start = arcs.groupBy(F.col("src").alias("node")).agg(F.sum(fires("w", F.col("p"))).alias("inactive"))
-    return _greedy(start.select("node", (1 + F.col("inactive")).alias("score"), F.lit(1.0).alias("active"), "inactive"), arcs, k, update)
+    score = F.col("active") * (1 + F.col("inactive") - F.col("gone"))
+    return _greedy(start.select("node", (1 + F.col("inactive")).alias("score"), "inactive"), arcs, k, score, active=F.product(1 - fires("w", F.col("p"))), gone=F.sum(fires("w", F.col("p"))))
 
 
 def penalized(scores: DataFrame, arcs: DataFrame, k: int, p: float = P, exponent: float = 1.0) -> DataFrame:
     """Take the best score; neighbours' scores are multiplied by (1 - p)^(exponent * w). Arcs may carry p."""
-
-    def update(s: dict, a: dict) -> None:
-        s["score"] *= (1 - a.get("p", p)) ** (exponent * a["w"])
-
-    return _greedy(scores.select("node", F.col("score").cast("double").alias("score")), arcs, k, update)
+    chance = F.col("p") if "p" in arcs.columns else F.lit(float(p))
+    start = scores.select("node", F.col("score").cast("double").alias("score"))
+    return _greedy(start, arcs, k, F.col("score") * F.col("left"), left=F.product(F.pow(1 - chance, exponent * F.col("w"))))
 
 
 # --- scores from sampled components -------------------------------------------------------------
@@ -164,10 +137,10 @@ def component_reach(comps: DataFrame) -> DataFrame:
 def new_greedy(edges: DataFrame, nodes: DataFrame, k: int, worlds: int, p: Column | float = P, seed: int = SEED) -> DataFrame:
     """Each step samples new worlds; a node gains the mean size of its components that hold no seed yet."""
     taken: list[tuple[int, int, float]] = []
-    spark = edges.sparkSession
+    spark, kernel = edges.sparkSession, W.few(edges) or None
     for step in range(k):
         live = W.live_edges(edges, worlds, p, seed, first=step * worlds)
-        comps = W.components(live, kernel=True)
+        comps = W.components(live, kernel=kernel)
         every = nodes.withColumn("world", F.explode(F.sequence(F.lit(step * worlds), F.lit((step + 1) * worlds - 1))))
         comps = every.join(comps, ["world", "node"], "left").select("world", "node", F.coalesce("comp", "node").alias("comp"))
         if taken:
@@ -193,21 +166,33 @@ def _gain_beyond(seeds: np.ndarray):
     return run
 
 
+def _gains_by_joins(live: DataFrame, covered: DataFrame | None) -> DataFrame:
+    """(node, gain): the nodes that each reaches, itself not counted, and the seeds' reach doesn't hold."""
+    pairs = W.reach_pairs(live, kernel=False).withColumnRenamed("v", "node")
+    if covered is not None:
+        pairs = pairs.join(covered.select("world", "node"), ["world", "node"], "left_anti")
+    return pairs.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("gain"))
+
+
 def general_greedy(edges: DataFrame, k: int, worlds: int, p: Column | float = P, seed: int = SEED) -> DataFrame:
     """Each step adds the node whose seeds plus it spread furthest over the step's worlds: one job for all candidates.
 
     Directed reach: a candidate gains the nodes that it reaches and the seeds don't.
     """
-    spark, taken = edges.sparkSession, []
+    spark, taken, small = edges.sparkSession, [], W.few(edges)
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().persist()
     for step in range(k):
         live = W.live_edges(edges, worlds, p, seed, first=step * worlds)
         seeds = np.array([n for _, n, _ in taken], np.int64)
 
-        gains = live.groupBy("world").applyInPandas(_gain_beyond(seeds), "node long, gain long").groupBy("node").agg(F.sum("gain").alias("gain"))
+        kernel = small or W.fits(live)
         rest = nodes.join(F.broadcast(spark.createDataFrame([(int(n),) for n in seeds] or [(-1,)], "node long")), "node", "left_anti")
         # a node outside its world's live edges, or not covered, counts itself: 1 in every world but those it is covered in
-        base = W.reach(live, spark.createDataFrame([(int(n),) for n in seeds] or [(-1,)], "node long"), worlds, kernel=True, first=step * worlds) if len(seeds) else None
+        base = W.reach(live, spark.createDataFrame([(int(n),) for n in seeds] or [(-1,)], "node long"), worlds, kernel=kernel, first=step * worlds) if len(seeds) else None
+        if kernel:
+            gains = live.groupBy("world").applyInPandas(_gain_beyond(seeds), "node long, gain long").groupBy("node").agg(F.sum("gain").alias("gain"))
+        else:
+            gains = _gains_by_joins(live, base)
         own = rest.withColumn("own", F.lit(worlds))
         if base is not None:
             own = rest.join(base.groupBy("node").agg(F.count("*").alias("c")), "node", "left").select("node", (worlds - F.coalesce("c", F.lit(0))).alias("own"))
@@ -252,7 +237,7 @@ def general_greedy_lt(edges: DataFrame, k: int, worlds: int = 20, seed: int = SE
                     out.append(total / len(theta))
                 yield pd.DataFrame({"v": pdf["v"], "score": out})
 
-        tried = spark.createDataFrame([(v,) for v in range(len(nodes)) if v not in held], "v long").repartition(16).mapInPandas(run, "v long, score double")
+        tried = spark.createDataFrame([(v,) for v in range(len(nodes)) if v not in held], "v long").repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "v long, score double")
         best = tried.orderBy(F.desc("score"), "v").limit(1).collect()
         if not best:
             break

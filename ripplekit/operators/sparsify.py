@@ -62,7 +62,7 @@ def path_counts(edges: DataFrame, cutoff: float = math.inf) -> DataFrame:
     """(src, dst, paths): shortest paths (by -ln p, one per pair) that use each edge."""
     rows = R.local(edges)
     shared = edges.sparkSession.sparkContext.broadcast(kernels.neighbours((u, v, -math.log(p)) for u, v, p in rows if p > 0))
-    roots = edges.select(F.explode(F.array("src", "dst")).alias("root")).distinct().repartition(16)
+    roots = edges.select(F.explode(F.array("src", "dst")).alias("root")).distinct().repartition(edges.sparkSession.sparkContext.defaultParallelism)
 
     def run(it):
         for pdf in it:
@@ -148,7 +148,8 @@ def forest_plus(edges: DataFrame, k: int, prune: str = "leaves") -> DataFrame:
 def greedy_degree_loss(edges: DataFrame, k: int) -> DataFrame:
     """k edges, each the one whose ends miss most of their expected degree; its p becomes half that loss, 1 at most.
 
-    Ties take the last edge. Losses fall as edges are taken, so a heap of old values finds the next.
+    Ties take the last edge. Taking an edge changes the losses at its two ends only: these go into the
+    heap again, and entries of old values are passed over.
     """
 
     def run(rows):
@@ -157,14 +158,26 @@ def greedy_degree_loss(edges: DataFrame, k: int) -> DataFrame:
             want[u], want[v] = want.get(u, 0.0) + p, want.get(v, 0.0) + p
         now = dict.fromkeys(want, 0.0)
         loss = lambda u, v: min((abs(want[u] - now[u]) + abs(want[v] - now[v])) / 2, 1.0)
-        left, out = {(u, v) for u, v, _ in rows}, []
-        while left and len(out) < k:
-            best = max(left, key=lambda e: (round(loss(*e), 12), e))
+        value = lambda e: round(loss(*e), 12)
+        left, out, at = {(u, v) for u, v, _ in rows}, [], {}
+        for u, v in left:
+            at.setdefault(u, set()).add((u, v))
+            at.setdefault(v, set()).add((u, v))
+        heap = [(-value(e), -e[0], -e[1]) for e in left]
+        heapq.heapify(heap)
+        while heap and len(out) < k:
+            low, u, v = heapq.heappop(heap)
+            best = (-u, -v)
+            if best not in left or -low != value(best):
+                continue
             x = loss(*best)
             left.discard(best)
             out.append((*best, x))
-            now[best[0]] += x
-            now[best[1]] += x
+            for end in best:
+                now[end] += x
+                at[end].discard(best)
+            for e in at[best[0]] | at[best[1]]:
+                heapq.heappush(heap, (-value(e), -e[0], -e[1]))
         return out
 
     return R.on_one_task(edges, run, EDGE)

@@ -6,6 +6,8 @@ searched by joins over all worlds at once, with each round's rows written to the
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +33,11 @@ def fits(live: DataFrame) -> bool:
     return most <= KERNEL_EDGES
 
 
+def few(edges: DataFrame) -> bool:
+    """Whether any world of edges fits, both ways, without sampling one to see."""
+    return 2 * edges.count() <= KERNEL_EDGES
+
+
 def _both(live: DataFrame) -> DataFrame:
     return live.select("world", "src", "dst").unionByName(live.select("world", F.col("dst").alias("src"), F.col("src").alias("dst")))
 
@@ -66,9 +73,49 @@ def reach(live: DataFrame, seeds: DataFrame, worlds: int, undirected: bool = Fal
         known = merged
 
 
-def first_seed_rank(live: DataFrame, seeds: DataFrame, worlds: int, undirected: bool = False) -> DataFrame:
+def _closure(live: DataFrame, start: DataFrame, least: bool = False) -> DataFrame:
+    """(world, node, tag): the tags of start (world, node, tag), carried along live arcs by joins.
+
+    A node gets every tag that reaches it, or the least one only. A round joins the arcs with the rows
+    that were new in the round before, and its rows are one more table in the shared folder.
+    """
+    parts = [store(start.select("world", "node", "tag").distinct(), "closure")]
+    while True:
+        known = reduce(DataFrame.unionByName, parts)
+        step = live.join(parts[-1].withColumnRenamed("node", "src"), ["world", "src"]).select("world", F.col("dst").alias("node"), "tag")
+        if least:
+            known = known.groupBy("world", "node").agg(F.min("tag").alias("tag"))
+            found = step.groupBy("world", "node").agg(F.min("tag").alias("tag")).join(known.withColumnRenamed("tag", "held"), ["world", "node"], "left")
+            step = found.where(F.col("held").isNull() | (F.col("tag") < F.col("held"))).select("world", "node", "tag")
+        else:
+            step = step.distinct().join(known, ["world", "node", "tag"], "left_anti")
+        new = store(step, "closure")
+        if new.isEmpty():
+            drop(new)
+            return known
+        parts.append(new)
+
+
+def _nodes(live: DataFrame) -> DataFrame:
+    return live.select("world", F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+
+def _every_world(rows: DataFrame, worlds: int) -> DataFrame:
+    return rows.withColumn("world", F.explode(F.sequence(F.lit(0), F.lit(worlds - 1))))
+
+
+def reach_of_sets(live: DataFrame, sets: DataFrame, worlds: int) -> DataFrame:
+    """(world, set, node): all that each of the sets (set, node) activates, by joins."""
+    start = _every_world(sets.select("node", F.col("set").alias("tag")), worlds)
+    return _closure(store(live, "live"), start).select("world", F.col("tag").alias("set"), "node")
+
+
+def first_seed_rank(live: DataFrame, seeds: DataFrame, worlds: int, undirected: bool = False, kernel: bool | None = None) -> DataFrame:
     """(world, node, rank): the first of the ordered seeds (rank, node) that reaches each node."""
     live = _both(live) if undirected else live
+    if not (fits(live) if kernel is None else kernel):
+        start = _every_world(seeds.select("node", F.col("rank").cast("long").alias("tag")), worlds)
+        return _closure(store(live, "live"), start, least=True).groupBy("world", "node").agg(F.min("tag").alias("rank"))
     rows = seeds.orderBy("rank").select("rank", "node").collect()  # k seeds
     ids, ranks = np.array([r["node"] for r in rows], np.int64), np.array([r["rank"] for r in rows], np.int64)
 
@@ -128,8 +175,10 @@ def component_sizes(comps: DataFrame) -> DataFrame:
     return comps.groupBy("world", "comp").agg(F.count("*").alias("size"))
 
 
-def strong_components(live: DataFrame) -> DataFrame:
+def strong_components(live: DataFrame, kernel: bool | None = None) -> DataFrame:
     """(world, node, scc): strongly connected components of nodes with live arcs; scc is the smallest node."""
+    if not (fits(live) if kernel is None else kernel):
+        return _strong_by_joins(live)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g = kernels.Arcs(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
@@ -138,6 +187,31 @@ def strong_components(live: DataFrame) -> DataFrame:
     return live.groupBy("world").applyInPandas(run, "world int, node long, scc long")
 
 
+def _strong_by_joins(live: DataFrame) -> DataFrame:
+    """Colour every node by the first one, in hashed order, that reaches it; those of a colour that reach
+    its root are the root's component. They are taken out, and the rest is coloured again."""
+    left, arcs, done = store(_nodes(live), "left"), store(live.where("src <> dst").distinct(), "arcs"), []
+    while not left.isEmpty():
+        start = left.withColumn("tag", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("root")))
+        colour = store(_closure(arcs, start, least=True), "colour")
+        src, dst = (colour.select("world", F.col("node").alias(end), F.col("tag").alias(f"{end}_tag")) for end in ("src", "dst"))
+        inside = arcs.join(src, ["world", "src"]).join(dst, ["world", "dst"]).where("src_tag = dst_tag")
+        back = store(inside.select("world", F.col("dst").alias("src"), F.col("src").alias("dst")), "back")
+        part = store(_closure(back, colour.where("node = tag.root")), "scc")
+        done.append(part)
+        rest = store(left.join(part, ["world", "node"], "left_anti"), "left")
+        ends = [rest.withColumnRenamed("node", end) for end in ("src", "dst")]
+        fewer = store(arcs.join(ends[0], ["world", "src"], "left_semi").join(ends[1], ["world", "dst"], "left_semi").select("world", "src", "dst"), "arcs")
+        for old in (left, arcs, colour, back):
+            drop(old)
+        left, arcs = rest, fewer
+    if not done:
+        return live.select("world", F.col("src").alias("node"), F.col("src").alias("scc"))  # no rows
+    rows = reduce(DataFrame.unionByName, done)
+    name = rows.groupBy("world", "tag").agg(F.min("node").alias("scc"))
+    return rows.join(name, ["world", "tag"]).select("world", "node", "scc")
+
+
 def condensation(live: DataFrame, scc: DataFrame) -> DataFrame:
     """(world, src_c, dst_c): arcs between different components."""
     a = scc.select("world", F.col("node").alias("src"), F.col("scc").alias("src_c"))
@@ -145,11 +219,15 @@ def condensation(live: DataFrame, scc: DataFrame) -> DataFrame:
     return live.join(a, ["world", "src"]).join(b, ["world", "dst"]).where("src_c <> dst_c").select("world", "src_c", "dst_c").distinct()
 
 
-def reach_sizes(live: DataFrame, method: str = "topsort") -> DataFrame:
+def reach_sizes(live: DataFrame, method: str = "topsort", kernel: bool | None = None) -> DataFrame:
     """(world, node, size): how many nodes each reaches, itself included.
 
-    topsort: unions over the condensation in reverse topological order; bfs: a search from each node.
+    topsort: unions over the condensation in reverse topological order; bfs: a search from each node;
+    both by joins from all nodes at once where a world doesn't fit in a task.
     """
+    if not (fits(live) if kernel is None else kernel):
+        pairs = _closure(store(live, "live"), _nodes(live).withColumn("tag", F.col("node")))
+        return pairs.groupBy("world", F.col("tag").alias("node")).agg(F.count("*").alias("size"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g = kernels.Arcs(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
@@ -162,8 +240,11 @@ def reach_sizes(live: DataFrame, method: str = "topsort") -> DataFrame:
     return live.groupBy("world").applyInPandas(run, "world int, node long, size long")
 
 
-def reach_pairs(live: DataFrame) -> DataFrame:
+def reach_pairs(live: DataFrame, kernel: bool | None = None) -> DataFrame:
     """(world, u, v): v is reached from u over one arc or more; u itself is left out."""
+    if not (fits(live) if kernel is None else kernel):
+        pairs = _closure(store(live, "live"), _nodes(live).withColumn("tag", F.col("node")))
+        return pairs.where("node <> tag").select("world", F.col("tag").alias("u"), F.col("node").alias("v"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g = kernels.Arcs(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
