@@ -365,3 +365,70 @@ _rep = [f"i{i + 1} AS MATERIALIZED (SELECT {i + 1} AS rank, a.dst AS node, sum(a
 _start = "b AS MATERIALIZED (SELECT * FROM und ORDER BY w DESC, src, dst LIMIT 1), t2 AS MATERIALIZED (SELECT 1 AS rank, src AS node, w::DOUBLE AS score FROM b UNION ALL SELECT 2, dst, w FROM b), "
 for _name, _how in (("k20_representative_sum", "sum"), ("k20b_representative_min", "min")):
     ORACLE_SQL[_name] = with_blocks("SELECT rank::INT AS rank, node, score FROM t4", "sym", extra=_start + ", ".join(_rep).replace("sum(a.w)", f"{_how}(a.w)"))
+
+# --- steps in order: recursion over edges or worlds with the state in lists, or one block per step ------
+
+_ordered = "ef AS MATERIALIZED (SELECT row_number() OVER (ORDER BY p DESC, src, dst) AS k, src, dst, p, x.i + 1 AS a, y.i + 1 AS b FROM faint JOIN place x ON x.node = src JOIN place y ON y.node = dst)"
+#: Peeled forests: every edge joins the first forest in which its ends are apart; lab holds each forest's labels.
+_peeled = f"""{_ordered},
+peel AS (SELECT 0::BIGINT AS k, 0::BIGINT AS tree, list_transform(range(0, n), lambda t: range(0, n)) AS lab FROM (SELECT max(n) AS n FROM place)
+ UNION ALL SELECT k, tree, list_transform(lab, lambda x, i: CASE WHEN i = tree THEN list_transform(x, lambda y: CASE WHEN y = x[b] THEN x[a] ELSE y END) ELSE x END)
+ FROM (SELECT e.k, e.a, e.b, p.lab, list_position(list_transform(p.lab, lambda x: x[e.a] <> x[e.b]), true)::BIGINT AS tree FROM peel p JOIN ef e ON e.k = p.k + 1)),
+trees AS MATERIALIZED (SELECT tree, src, dst, p, row_number() OVER (ORDER BY tree, p DESC, src, dst) AS pos FROM peel JOIN ef USING (k))"""
+
+
+def degree_loss(k: int) -> str:
+    out = ["g0 AS MATERIALIZED (SELECT node, d FROM degree)"]
+    for i in range(1, k + 1):
+        prior = " UNION ALL ".join(f"SELECT src, dst FROM p{j}" for j in range(1, i)) or "SELECT -1 AS src, -1 AS dst"
+        out.append(f"p{i} AS MATERIALIZED (SELECT f.src, f.dst, least((abs(x.d) + abs(y.d)) / 2, 1) AS p FROM faint f JOIN g{i - 1} x ON x.node = f.src JOIN g{i - 1} y ON y.node = f.dst WHERE (f.src, f.dst) NOT IN ({prior}) ORDER BY round(least((abs(x.d) + abs(y.d)) / 2, 1), 12) DESC, f.src DESC, f.dst DESC LIMIT 1)")
+        out.append(f"g{i} AS MATERIALIZED (SELECT node, d - CASE WHEN node IN (src, dst) THEN p ELSE 0 END AS d FROM g{i - 1}, p{i})")
+    return with_blocks(" UNION ALL ".join(f"SELECT src, dst, round(p, 6) AS p FROM p{i}" for i in range(1, k + 1)), "degree", extra=",\n".join(out))
+
+
+def pruned(k: int, steps: int, first: str, where: str) -> str:
+    """The forest after up to ``steps`` edges went, one at a time, ``first`` in front; a.n and b.n: edges at the ends."""
+    out = ["t0 AS MATERIALIZED (SELECT src, dst, p FROM forest)"]
+    for i in range(steps):
+        out.append(f"n{i} AS MATERIALIZED (SELECT node, count(*) AS n FROM (SELECT src AS node FROM t{i} UNION ALL SELECT dst FROM t{i}) GROUP BY 1)")
+        out.append(f"x{i} AS MATERIALIZED (SELECT t.src, t.dst FROM t{i} t JOIN n{i} a ON a.node = t.src JOIN n{i} b ON b.node = t.dst JOIN n0 a0 ON a0.node = t.src JOIN n0 b0 ON b0.node = t.dst WHERE (SELECT count(*) FROM t{i}) > {k} AND {where} ORDER BY {first}, t.src, t.dst LIMIT 1)")
+        out.append(f"t{i + 1} AS MATERIALIZED (SELECT t.* FROM t{i} t WHERE NOT EXISTS (SELECT 1 FROM x{i} x WHERE x.src = t.src AND x.dst = t.dst))")
+    return with_blocks(f"SELECT src, dst, p FROM t{steps}", "forest", extra=",\n".join(out))
+
+
+_credited, _credited_picks = greedy("SELECT node, count(*)::DOUBLE AS score FROM (SELECT unnest(held) AS node FROM credit WHERE s = (SELECT max(s) FROM credit)) GROUP BY 1", "score", {"score": "s.score * pow(1 - 0.01::DOUBLE, a.w)"}, "sym", 4)
+
+ORACLE_SQL |= {
+    "e04_diameters": with_blocks(
+        "SELECT comp, count(*) AS nodes, max(far)::BIGINT AS diameter FROM (SELECT u, min(v) AS comp, max(level) AS far FROM (SELECT u, v, min(level) AS level FROM hop GROUP BY 1, 2) GROUP BY u) GROUP BY comp", "und",
+        extra=f"l AS MATERIALIZED (SELECT src, dst FROM und WHERE {u('42', '0', 'src', 'dst')} <= 1 - pow(1 - 0.02::DOUBLE, w)), b AS MATERIALIZED (SELECT src, dst FROM l UNION ALL SELECT dst, src FROM l), hop AS (SELECT DISTINCT src AS u, src AS v, 0 AS level FROM b UNION SELECT u, dst, level + 1 FROM hop JOIN b ON b.src = hop.v WHERE level < 60)"),
+    "w13_greedy_world": with_blocks(
+        "SELECT src, dst, p FROM gw JOIN ef USING (k) WHERE took", "place", "degree",
+        extra=_ordered + """,
+gw AS (SELECT 0::BIGINT AS k, false AS took, list(-d ORDER BY node) AS gap FROM degree
+ UNION ALL SELECT k, took, CASE WHEN took THEN list_transform(gap, lambda g, i: CASE WHEN i IN (a, b) THEN g + 1 ELSE g END) ELSE gap END
+ FROM (SELECT e.k, e.a, e.b, gap, abs(gap[e.a] + 1) + abs(gap[e.b] + 1) < abs(gap[e.a]) + abs(gap[e.b]) AS took FROM gw JOIN ef e ON e.k = gw.k + 1))"""),
+    "w16_forest_world": with_blocks(
+        f"SELECT src, dst, p FROM (SELECT pos, src, dst, p, min(t) AS turn FROM trees, range(0, 100) r(t) WHERE {u('42', chr(39) + 'forest' + chr(39), 't', 'src', 'dst')} < p GROUP BY ALL) ORDER BY turn, pos LIMIT (SELECT floor(sum(p))::BIGINT + 1 FROM faint)", "place", "faint", extra=_peeled),
+    "k13_continuous_search": with_blocks(
+        f"SELECT rank, node, round(score, 6) AS score FROM ({_credited_picks})", "sizes", "sym",
+        extra=f"""places AS MATERIALIZED (SELECT world, comp, row_number() OVER (PARTITION BY world ORDER BY size DESC, {u('42', chr(39) + 'tie' + chr(39), 'world', 'comp')}, comp) AS place FROM sizes),
+turns AS MATERIALIZED (SELECT row_number() OVER (ORDER BY world, place) AS s, list(node) AS members FROM comps JOIN places USING (world, comp) WHERE place <= 4 GROUP BY world, place),
+credit AS (SELECT 0::BIGINT AS s, []::BIGINT[] AS held UNION ALL SELECT t.s, list_append(held, list_min(list_transform(members, lambda m: {{'c': -len(list_filter(held, lambda z: z = m)), 'n': m}})).n) FROM credit c JOIN turns t ON t.s = c.s + 1),
+""" + _credited),
+    "r03_forest_reliability": with_blocks(
+        "SELECT p.u, p.v, round(coalesce(sum(exp(w.c)), 0), 6) AS r FROM pairs p LEFT JOIN tw w ON w.u = p.u AND w.v = p.v GROUP BY 1, 2", "place", "faint", "pair_order",
+        extra=_peeled + """,
+pairs AS MATERIALIZED (SELECT u, v FROM pair_order WHERE k <= 20),
+ways AS MATERIALIZED (SELECT tree, src, dst, ln(p) AS c FROM trees UNION ALL SELECT tree, dst, src, ln(p) FROM trees),
+tw AS (SELECT DISTINCT tree, u, u AS v, -1::BIGINT AS back, 0.0::DOUBLE AS c FROM pairs JOIN ways ON src = u UNION ALL SELECT w.tree, w.u, f.dst, w.v, w.c + f.c FROM tw w JOIN ways f ON f.tree = w.tree AND f.src = w.v AND f.dst <> w.back)"""),
+    "r09_forest_order": with_blocks("SELECT src, dst, p FROM trees ORDER BY pos LIMIT 60", "place", "faint", extra=_peeled),
+    "r14_shortest_paths": with_blocks(
+        "SELECT s.src, s.dst, s.p FROM sure s LEFT JOIN used n USING (src, dst) ORDER BY round(s.p * coalesce(n.n, 0), 9) DESC, s.src, s.dst LIMIT 40", "sure",
+        extra="c0 AS MATERIALIZED (SELECT a, b, min(c) AS c FROM (SELECT src AS a, dst AS b, -ln(p) AS c FROM sure UNION ALL SELECT dst, src, -ln(p) FROM sure UNION ALL SELECT src, src, 0 FROM sure UNION ALL SELECT dst, dst, 0 FROM sure) GROUP BY 1, 2),\n"
+        + "".join(f"c{i + 1} AS MATERIALIZED (SELECT x.a, y.b, min(x.c + y.c) AS c FROM c{i} x JOIN c{i} y ON x.b = y.a GROUP BY 1, 2),\n" for i in range(5))
+        + "used AS MATERIALIZED (SELECT e.src, e.dst, count(*) AS n FROM (SELECT src, dst, p, src AS s, dst AS t FROM sure UNION ALL SELECT src, dst, p, dst, src FROM sure) e JOIN c5 x ON x.b = e.s JOIN c5 y ON y.a = e.t JOIN c5 d ON d.a = x.a AND d.b = y.b WHERE d.a < d.b AND abs(x.c - ln(e.p) + y.c - d.c) < 1e-9 GROUP BY 1, 2)"),
+    "r15b_forest_leaves": pruned(15, 10, "t.p", "(a.n = 1 OR b.n = 1)"),
+    "r16_forest_power": pruned(15, 10, "(a0.n = 1 OR b0.n = 1), a.n + b.n DESC", "true"),
+    "r17_greedy_degree_loss": degree_loss(20),
+}

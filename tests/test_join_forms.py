@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ripplekit.operators import diffusion as D
+from ripplekit.operators import models as M
 from ripplekit.operators import reliability as R
 from ripplekit.operators import selection as K
 from ripplekit.operators import sparsify as X
@@ -125,3 +126,63 @@ def test_degree_loss_equals_a_plain_search(spark):
         missing[e[1]] -= lost[e]
     got = X.greedy_degree_loss(spark.createDataFrame(edges, X.EDGE), 20)
     assert sorted((r["src"], r["dst"], round(r["p"], 9)) for r in got.collect()) == sorted(want)
+
+
+def test_linear_threshold_greedy_equals_a_plain_search(spark):
+    rng = np.random.default_rng(9)
+    pairs = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 9, 26), rng.integers(0, 9, 26)) if a != b})
+    weighted = M.uniform_weights(spark.createDataFrame([(a, b, 1) for a, b in pairs], "src long, dst long, w long"))
+    b = {(r["src"], r["dst"]): r["b"] * r["w"] for r in weighted.collect()}
+    nodes = sorted({n for e in pairs for n in e})
+    theta = {(r["world"], r["node"]): r["threshold"] for r in D.thresholds(spark.createDataFrame([(n,) for n in nodes], "node long"), 4).collect()}
+
+    def spread(seeds):
+        total = 0
+        for world in range(4):
+            on = set(seeds)
+            while True:
+                pull = {n: sum(x for (s, d), x in b.items() if d == n and s in on) for n in nodes if n not in on}
+                more = {n for n, x in pull.items() if x > 0 and round(x, 9) >= theta[world, n]}
+                if not more:
+                    break
+                on |= more
+            total += len(on)
+        return total / 4
+
+    want: list[tuple[int, float]] = []
+    for _ in range(3):
+        held = [n for n, _ in want]
+        score, node = min((-spread([*held, n]), n) for n in nodes if n not in held)
+        want.append((node, -score))
+    assert [(r["node"], r["score"]) for r in K.general_greedy_lt(weighted, 3, 4).orderBy("rank").collect()] == want
+
+
+def test_directed_harvest_equals_a_plain_scan(live):
+    want: dict[int, float] = {}
+    for world in range(3):
+        out: dict[int, set] = {}
+        for r in live.where(F.col("world") == world).collect():
+            out.setdefault(r["src"], set()).add(r["dst"])
+            out.setdefault(r["dst"], set())
+        reach = {}
+        for v in out:
+            seen, todo = set(), [v]
+            while todo:
+                for u in out[todo.pop()] - seen:
+                    seen.add(u)
+                    todo.append(u)
+            reach[v] = seen - {v}
+        into = {v: sum(v in s for s in reach.values()) for v in out}
+        order = sorted(out, key=lambda v: (-len(reach[v]), v))
+        covered, free, last = set(), [], None
+        for v in order:
+            if len(free) >= 2 and len(reach[v]) != last:
+                break
+            want[v] = want.get(v, 0) + sum(1 / into[x] for x in reach[v])
+            if len(free) < 2:
+                last = len(reach[v])
+                if v not in covered:
+                    free.append(v)
+                    covered |= reach[v] | {v}
+    got = {r["node"]: r["score"] for r in K.directed_harvest_scores(live, 2).collect()}
+    assert got == pytest.approx(want)
