@@ -64,6 +64,14 @@ QUERIES = {f.__name__: f for f in (op1_latent_vote, op2_attention_scores, op3_br
 _TEMPLATE_ROWS = ", ".join(f"({i}, '{name}', {licenses.template_words(text)!r})" for i, (name, text) in enumerate(licenses.TEMPLATES))
 
 ORACLE_SQL = {
+    "op3_branch_and_bound": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x)::BIGINT AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+""",
     "op8_license_windows": f"""
 WITH t AS (
   SELECT *, least(5, len(words)) AS width, len(words) - least(5, len(words)) + 1 AS span FROM (VALUES {_TEMPLATE_ROWS}) v(template, license, words)),
