@@ -288,12 +288,15 @@ def _by_probability(rows):
 
 
 def greedy_world(edges: DataFrame) -> DataFrame:
-    """Edges by p, each taken if that lowers the summed discrepancy of its ends from expected degrees."""
+    """Edges by p, each taken if that lowers the summed discrepancy of its ends from expected degrees.
+
+    Changes are rounded to 9 digits, so that summation order can't decide where the sum stays the same.
+    """
 
     def run(rows):
         gap, out = {n: -x for n, x in _expected(rows).items()}, []
         for u, v, p in _by_probability(rows):
-            if abs(gap[u] + 1) + abs(gap[v] + 1) < abs(gap[u]) + abs(gap[v]):
+            if round(abs(gap[u] + 1) + abs(gap[v] + 1) - abs(gap[u]) - abs(gap[v]), 9) < 0:
                 gap[u] += 1
                 gap[v] += 1
                 out.append((u, v, p))
@@ -346,7 +349,7 @@ def rewired_world(edges: DataFrame, steps: int = 10, seed: int = SEED) -> DataFr
                     gap[e[0]] += d
                     gap[e[1]] += d
                 ends = {*off[:2], *on[:2]}
-                if sum(abs(gap[n]) for n in ends) < sum(abs(before[n]) for n in ends):
+                if round(sum(abs(gap[n]) - abs(before[n]) for n in ends), 9) < 0:
                     blocked[i] = off
                     for n in off[:2]:
                         at[n].remove(off)

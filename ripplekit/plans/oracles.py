@@ -407,7 +407,7 @@ ORACLE_SQL |= {
         extra=_ordered + """,
 gw AS (SELECT 0::BIGINT AS k, false AS took, list(-d ORDER BY node) AS gap FROM degree
  UNION ALL SELECT k, took, CASE WHEN took THEN list_transform(gap, lambda g, i: CASE WHEN i IN (a, b) THEN g + 1 ELSE g END) ELSE gap END
- FROM (SELECT e.k, e.a, e.b, gap, abs(gap[e.a] + 1) + abs(gap[e.b] + 1) < abs(gap[e.a]) + abs(gap[e.b]) AS took FROM gw JOIN ef e ON e.k = gw.k + 1))"""),
+ FROM (SELECT e.k, e.a, e.b, gap, round(abs(gap[e.a] + 1) + abs(gap[e.b] + 1) - abs(gap[e.a]) - abs(gap[e.b]), 9) < 0 AS took FROM gw JOIN ef e ON e.k = gw.k + 1))"""),
     "w16_forest_world": with_blocks(
         f"SELECT src, dst, p FROM (SELECT pos, src, dst, p, min(t) AS turn FROM trees, range(0, 100) r(t) WHERE {u('42', chr(39) + 'forest' + chr(39), 't', 'src', 'dst')} < p GROUP BY ALL) ORDER BY turn, pos LIMIT (SELECT floor(sum(p))::BIGINT + 1 FROM faint)", "place", "faint", extra=_peeled),
     "k13_continuous_search": with_blocks(
