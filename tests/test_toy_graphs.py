@@ -159,3 +159,9 @@ def test_priority_queue():
         q.pop_item()
     with pytest.raises(KeyError):
         q.remove_task("a")
+
+
+def test_linear_threshold_runs_past_the_rounds_of_its_sql(spark):
+    path = M.uniform_weights(edges(spark, [(i, i + 1) for i in range(60)]))
+    seeds = spark.createDataFrame([(0,)], "node long")
+    assert {r["node"]: r["level"] for r in D.linear_threshold(path, seeds, 1).collect()} == {i: i for i in range(61)}
