@@ -1,5 +1,7 @@
 """Toy graphs with answers in closed form."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -165,3 +167,24 @@ def test_linear_threshold_runs_past_the_rounds_of_its_sql(spark):
     path = M.uniform_weights(edges(spark, [(i, i + 1) for i in range(60)]))
     seeds = spark.createDataFrame([(0,)], "node long")
     assert {r["node"]: r["level"] for r in D.linear_threshold(path, seeds, 1).collect()} == {i: i for i in range(61)}
+
+
+def test_reach_counts_take_bounded_memory():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        g = kernels.Arcs(rng.integers(0, 12, 18), rng.integers(0, 12, 18))
+        want = [len(s) for s in kernels.reach_sets(g)]
+        for parts, words in ((1, 1 << 22), (3, 1)):
+            assert sum(kernels.reach_counts(g, p, parts, words) for p in range(parts)).tolist() == want
+    path = kernels.Arcs(np.arange(3000), np.arange(1, 3001))  # 4.5 million pairs; as sets over 150 MB
+    tracemalloc.start()
+    assert kernels.reach_counts(path, words=1 << 15).tolist() == list(range(3001, 0, -1))
+    assert tracemalloc.get_traced_memory()[1] < 8e6
+    tracemalloc.stop()
+
+
+def test_reach_sizes_by_parts(spark, monkeypatch):
+    live = edges(spark, DAG).select(F.lit(0).alias("world"), "src", "dst")
+    want = set(W.reach_sizes(live, "bfs").collect())
+    monkeypatch.setattr(W, "COUNT_ARCS", 5)
+    assert set(W.reach_sizes(live, "topsort").collect()) == want
