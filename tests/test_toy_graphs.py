@@ -188,3 +188,20 @@ def test_reach_sizes_by_parts(spark, monkeypatch):
     want = set(W.reach_sizes(live, "bfs").collect())
     monkeypatch.setattr(W, "COUNT_ARCS", 5)
     assert set(W.reach_sizes(live, "topsort").collect()) == want
+
+
+def test_diameters_take_few_searches(monkeypatch):
+    rng = np.random.default_rng(4)
+    search, calls = kernels.levels, []
+    for _ in range(60):
+        a, b = rng.integers(0, 14, 16), rng.integers(0, 14, 16)
+        node, comp = kernels.components(a, b)
+        own = np.isin(a, node[comp == comp[0]])
+        g = kernels.Arcs(np.concatenate([a[own], b[own]]), np.concatenate([b[own], a[own]]))
+        assert kernels.diameter(g) == max(search(g, np.array([v])).max() for v in range(g.n))
+    i, j = np.divmod(np.arange(900), 30)
+    right, down = np.arange(900)[j < 29], np.arange(900)[i < 29]
+    a, b = np.concatenate([right, down]), np.concatenate([right + 1, down + 30])
+    monkeypatch.setattr(kernels, "levels", lambda g, seeds: calls.append(1) or search(g, seeds))
+    assert kernels.diameter(kernels.Arcs(np.concatenate([a, b]), np.concatenate([b, a]))) == 58
+    assert len(calls) < 100  # of 900 nodes
