@@ -205,3 +205,52 @@ def test_diameters_take_few_searches(monkeypatch):
     monkeypatch.setattr(kernels, "levels", lambda g, seeds: calls.append(1) or search(g, seeds))
     assert kernels.diameter(kernels.Arcs(np.concatenate([a, b]), np.concatenate([b, a]))) == 58
     assert len(calls) < 100  # of 900 nodes
+
+
+def plain_greedy(states, nodes, k):
+    """k picks over {root: state rows} that states(seeds) makes."""
+    seeds, taken = [], []
+    for rank in range(1, k + 1):
+        gains = dict.fromkeys(nodes, 0.0)
+        for rows in states(seeds):
+            for _, node, _, _, gain in rows:
+                gains[node] += gain
+        score, node = min((-round(g, 9), n) for n, g in gains.items() if n not in seeds)
+        seeds = [*seeds, node]
+        taken.append((rank, node, pytest.approx(-score, abs=1e-8)))
+    return taken
+
+
+@pytest.fixture(scope="module")
+def weighted(spark):
+    rng = np.random.default_rng(11)
+    pairs = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 14, 45), rng.integers(0, 14, 45)) if a != b})
+    return M.uniform_weights(edges(spark, [(a, b, 1 + (a * b) % 4) for a, b in pairs])).withColumn("p", F.col("b") * F.col("w"))
+
+
+@pytest.mark.parametrize("name", ["pmia"])
+def test_local_structures_of_graphs_of_any_size_equal_a_plain_search(spark, weighted, monkeypatch, name):
+    monkeypatch.setattr(T, "MOST_ARCS", 0, raising=False)  # once refused beyond that
+    into: dict = {}
+    for r in weighted.orderBy("dst", "src").collect():
+        into.setdefault(r["dst"], []).append((r["src"], r["p"]))
+    nodes = sorted({n for v, rows in into.items() for n in (v, *[u for u, _ in rows])})
+
+    def trees(seeds):
+        out = []
+        for v in nodes:
+            barred = set()
+            for i in range(1, len(seeds)):
+                tree, gone = T.influence_tree(into, v, 0.05, set(seeds[:i]), barred), set()
+                for s in seeds[:i]:
+                    way = [s]
+                    while way[-1] in tree and way[-1] != v:
+                        way.append(tree[way[-1]][0])
+                    gone |= {s} if s in tree and seeds[i] in way else set()
+                barred |= gone
+            out.append(T.tree_state(T.influence_tree(into, v, 0.05, set(seeds), barred), v, set(seeds)))
+        return out
+
+    dags = lambda seeds: [T.dag_state(T.local_dag(into, v, 1 / 40), v, set(seeds)) for v in nodes]
+    got = T.pmia(weighted, 5, 0.05) if name == "pmia" else T.ldag(weighted, 5, 1 / 40)
+    assert [tuple(r) for r in got.orderBy("rank").collect()] == plain_greedy(trees if name == "pmia" else dags, nodes, 5)
