@@ -228,7 +228,7 @@ def weighted(spark):
     return M.uniform_weights(edges(spark, [(a, b, 1 + (a * b) % 4) for a, b in pairs])).withColumn("p", F.col("b") * F.col("w"))
 
 
-@pytest.mark.parametrize("name", ["pmia"])
+@pytest.mark.parametrize("name", ["pmia", "ldag"])
 def test_local_structures_of_graphs_of_any_size_equal_a_plain_search(spark, weighted, monkeypatch, name):
     monkeypatch.setattr(T, "MOST_ARCS", 0, raising=False)  # once refused beyond that
     into: dict = {}
