@@ -254,3 +254,27 @@ def test_local_structures_of_graphs_of_any_size_equal_a_plain_search(spark, weig
     dags = lambda seeds: [T.dag_state(T.local_dag(into, v, 1 / 40), v, set(seeds)) for v in nodes]
     got = T.pmia(weighted, 5, 0.05) if name == "pmia" else T.ldag(weighted, 5, 1 / 40)
     assert [tuple(r) for r in got.orderBy("rank").collect()] == plain_greedy(trees if name == "pmia" else dags, nodes, 5)
+
+
+def test_threshold_spreads_follow_only_what_is_added(monkeypatch):
+    rng = np.random.default_rng(12)
+    for _ in range(20):
+        pairs = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 10, 30), rng.integers(0, 10, 30))})
+        g = kernels.Arcs(*np.array(pairs).T, rng.integers(1, 400, len(pairs)))
+        need, held = rng.integers(1, 700, g.n), np.arange(min(2, g.n))
+        src = np.repeat(np.arange(g.n), np.diff(g.start))
+
+        def plain(seeds):
+            on = np.isin(np.arange(g.n), seeds)
+            while (more := ~on & (np.bincount(g.to, g.extra * on[src], g.n) >= need)).any():
+                on |= more
+            return on.sum()
+
+        want = [plain([*held, v]) for v in range(g.n)]
+        for cells in (1, 1 << 21):
+            assert kernels.threshold_spreads(g, need, held, np.arange(g.n), cells).tolist() == want
+    path, followed = kernels.Arcs(np.arange(500), np.arange(1, 501), np.ones(500, np.int64)), []
+    note = kernels.activate
+    monkeypatch.setattr(kernels, "activate", lambda g, lack, lit, front, **most: followed.append(-int(lack.sum())) or note(g, lack, lit, front, **most) or followed.append(int(lack.sum())))
+    assert kernels.threshold_spreads(path, np.ones(501, np.int64), np.array([400]), np.arange(501)).tolist() == [501 - v if v < 400 else 101 for v in range(501)]
+    assert -sum(followed) == 100 + 400 * 401 // 2  # arcs: those of held once, and what each tried one adds
