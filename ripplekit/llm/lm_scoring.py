@@ -7,8 +7,8 @@ and neighbourhoods of subword ids, which the model's leaves are made of, come fr
 One pass over all texts makes the ids, the base score and the windows to learn from, and writes them as a
 table. The words that stand at least as often as a threshold, HEAD_WORDS of them at most, go to all tasks
 (a bounded table); counts of all other words come by a join on the word. The network learns in ROUNDS
-rounds. Each takes its own windows from all training documents by a hash: WINDOWS and a SHARE of all
-windows, or all if there are fewer, so what is learned from grows with the documents. In a round every
+rounds. Each takes its own part of the windows of all training documents by a hash, so together they take
+every window; of a small corpus a round takes more, up to WINDOWS and a SHARE of all. In a round every
 task steps through PER_TASK windows or so and the tasks' weights are averaged, by part on the executors;
 the driver gets one set of weights a round. ``train_docs`` sampled documents may train the first weights
 on the driver (none by default).
@@ -43,7 +43,7 @@ from .tokens import encoder
 HEAD_WORDS, TRAIN_DOCS = 150_000, 0
 #: Rounds of training, the rate of the first, parts of the weights.
 ROUNDS, RATE, PARTS = 5, 0.03, 64
-#: Windows of a round: a number and a share of all, and those that a task steps through.
+#: Windows of a round at least, if there are so many: a number and a share of all; and those that a task steps through.
 WINDOWS, SHARE, PER_TASK = 25_000, 1 / 512, 25_600
 #: The byte vocabulary's last id, free in ordinary text, closes a sequence.
 END, VOCAB = 50_256, 50_257
@@ -211,17 +211,21 @@ def sample_sequences(docs: DataFrame, n: int, most: int, path: str) -> list[np.n
 
 
 def picked_windows(streams: list[np.ndarray], of: np.ndarray, share: float, rounds: int) -> list[list[bytes | None]]:
-    """For every round and sequence its windows of the round: leaves, and next leaves or -1, 16 bits each."""
+    """For every round and sequence its windows of the round: leaves, and next leaves or -1, 16 bits each.
+
+    A round takes those whose hash lies up to ``share`` behind its own even place, so a share over 1 / rounds
+    leaves no window out.
+    """
     flat, good, start, owner = attention.layout(streams, END)
     leaf, lane = of[flat], np.arange(attention.WINDOW)
     seed = np.array([zlib.crc32(s) for s in streams], np.uint64)[owner] << np.uint64(32)
     place = (np.arange(len(owner)) - np.searchsorted(owner, owner)).astype(np.uint64)
-    out = []
+    h, out = seed + place, []
+    for turn in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):  # two turns of a multiplicative hash
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(turn)
+    u = (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
     for k in range(rounds):
-        h = (seed | np.uint64(k << 24)) + place
-        for turn in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):  # two turns of a multiplicative hash
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(turn)
-        own = np.flatnonzero((h >> np.uint64(11)).astype(np.float64) * 2.0**-53 < share)
+        own = np.flatnonzero((u - k / rounds) % 1.0 < share)
         at = start[own, None] + lane
         goal = np.where(good[at], leaf[at + 1], -1)
         goal[:, : attention.CONTEXT] = -1
@@ -231,6 +235,11 @@ def picked_windows(streams: list[np.ndarray], of: np.ndarray, share: float, roun
     return out
 
 
+def round_share(windows: int) -> float:
+    """The share of all windows that a round takes: an even part or more, so that no window is left out."""
+    return min(1.0, max(1 / ROUNDS + 1e-9, WINDOWS / windows + SHARE))
+
+
 def average_round(windows: DataFrame, tasks: int, weights: dict[str, np.ndarray], rate: float, warm: int) -> dict[str, np.ndarray]:
     """The weights after each of ``tasks`` has passed over its windows (w), averaged by windows."""
     spark = windows.sparkSession
@@ -354,12 +363,12 @@ def score(docs: DataFrame, held_out, tokenizer: str | None = None, train_docs: i
     bottom = math.log10(total + vocab + 1)
     known = {w: math.log10(c + 1) - bottom for w, c in common.items()}
     windows = max(1, int(per_id.sum() / attention.SCORED) + n_train // 2)  # about
-    wanted = min(windows, WINDOWS + SHARE * windows)
     rounds = ROUNDS if n_train else 0
-    texts = store(read_texts(marked, path, known, model.of, wanted / windows, rounds, (1 if n_train else 0, math.log10(n_train + 1) - bottom)), "lm-texts")
+    share = round_share(windows)
+    texts = store(read_texts(marked, path, known, model.of, share, rounds, (1 if n_train else 0, math.log10(n_train + 1) - bottom)), "lm-texts")
     for k in range(rounds):
         own = texts.select(F.col(f"w{k}").alias("w")).where("w IS NOT NULL")
-        model.weights = average_round(own, max(1, round(wanted / PER_TASK)), model.weights, RATE * (1 - k / rounds), 50 if k == 0 else 10)
+        model.weights = average_round(own, max(1, round(share * windows / PER_TASK)), model.weights, RATE * (1 - k / rounds), 50 if k == 0 else 10)
     model.prepare()
     rare = texts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     found = rare.join(counts.where(F.col("c") < least).select("word", "c"), "word", "left")

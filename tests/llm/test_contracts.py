@@ -69,6 +69,19 @@ def test_equal_texts_score_alike_and_windows_follow_the_share():
     assert rows[:, 1][rows[:, 1] >= 0].tolist() == of[streams[0]].tolist()
 
 
+def test_rounds_learn_from_every_training_window():
+    rng = np.random.default_rng(22)
+    streams = [np.append(rng.integers(0, 3000, 2000), lm_scoring.END) for _ in range(5)]
+    of, k = np.arange(lm_scoring.VOCAB) % attention.LEAVES, lm_scoring.ROUNDS
+    share = getattr(lm_scoring, "round_share", lambda n: lm_scoring.WINDOWS / n + lm_scoring.SHARE)(10**9)
+    rounds = lm_scoring.picked_windows(streams, of, share, k)
+    size = 2 * 2 * attention.WINDOW
+    for i, s in enumerate(streams):
+        got = [own[i][at : at + size] for own in rounds if own[i] for at in range(0, len(own[i]), size)]
+        whole = lm_scoring.picked_windows([s], of, 1.0, 1)[0][0]
+        assert sorted(got) == sorted(whole[at : at + size] for at in range(0, len(whole), size))
+
+
 def test_tiny_shares_still_pick_rows(spark):
     df = spark.range(200_000)
     assert 0 < df.where(common.hashed_share(1e-4, "id")).count() < 100
