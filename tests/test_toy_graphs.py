@@ -256,6 +256,21 @@ def test_local_structures_of_graphs_of_any_size_equal_a_plain_search(spark, weig
     assert [tuple(r) for r in got.orderBy("rank").collect()] == plain_greedy(trees if name == "pmia" else dags, nodes, 5)
 
 
+@pytest.mark.parametrize("name", ["pmia", "ldag"])
+def test_long_structures_take_few_rounds(spark, monkeypatch, name):
+    """A chain of 30 nodes: its lists come in about log2(30) rounds, not 30, and all of them."""
+    asked, by_root = [], T._by_root
+    monkeypatch.setattr(T, "_by_root", lambda *a: asked.append(1) or by_root(*a))
+    chain = M.uniform_weights(edges(spark, [(v, v + 1, 1) for v in range(29)])).withColumn("p", F.lit(0.99))
+    if name == "pmia":
+        got = T.pmia(chain, 1, 0.05)
+        want = sum(0.99**v for v in range(30))
+    else:
+        got, want = T.ldag(chain, 1), 30.0
+    assert [tuple(r) for r in got.collect()] == [(1, 0, pytest.approx(want, abs=1e-8))]
+    assert len(asked) <= 9
+
+
 def test_threshold_spreads_follow_only_what_is_added(monkeypatch):
     rng = np.random.default_rng(12)
     for _ in range(20):
