@@ -100,7 +100,7 @@ def norm(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def norm_back(dy: np.ndarray, y: np.ndarray, r: np.ndarray) -> np.ndarray:
-    return (dy - y * (dy * y).mean(-1, keepdims=True)) / r
+    return (dy - y * (np.einsum("...i,...i->...", dy, y)[..., None] / np.float32(y.shape[-1]))) / r
 
 
 def new_weights(dim: int, hidden: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -110,6 +110,13 @@ def new_weights(dim: int, hidden: int, rng: np.random.Generator) -> dict[str, np
     return out
 
 
+def exp_of(logits: np.ndarray) -> None:
+    """In place: exp, of rows shifted to a largest entry of zero if any entry is far from zero."""
+    if logits.size and max(-logits.min(), logits.max()) > 60:
+        logits -= logits.max(-1, keepdims=True)
+    np.exp(logits, out=logits)
+
+
 def by_group(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order that brings rows of a group together, and where each group starts."""
     order = np.argsort(group.astype(np.uint8), kind="stable")
@@ -117,67 +124,84 @@ def by_group(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def loss_and_gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss of the next leaves ``y`` where ``use``, and its gradients; x, y: (windows, WINDOW)."""
+    """Mean loss of the next leaves ``y`` where ``use``, and its gradients; x, y: (windows, WINDOW).
+
+    Places before the first that any window uses are only keys and values; all else about them is zero.
+    """
     d = w["Q"].shape[1]
+    from_ = int(np.argmax(use.any(0)))
+    flat_use = use[:, from_:].ravel()
+    root = np.float32(d**0.5)
     h0 = w["E"][x] + w["P"]
     n0, r0 = norm(h0)
-    q, k, v = n0 @ w["Q"], n0 @ w["K"], n0 @ w["V"]
-    s = q @ k.transpose(0, 2, 1) / np.float32(d**0.5)
-    e = np.exp(np.clip(s, -60, 60)) * FULL
-    a = e / e.sum(-1, keepdims=True)
+    all_rows, late = n0.reshape(-1, d), np.ascontiguousarray(n0[:, from_:])
+    q = (late.reshape(-1, d) @ (w["Q"] / root)).reshape(late.shape)
+    k, v = (all_rows @ w["K"]).reshape(n0.shape), (all_rows @ w["V"]).reshape(n0.shape)
+    a = q @ k.transpose(0, 2, 1)
+    if max(-a.min(), a.max()) > 60:
+        np.clip(a, -60, 60, out=a)
+    np.exp(a, out=a)
+    a *= FULL[from_:]
+    a /= np.einsum("bij->bi", a)[..., None]
     c = a @ v
-    h1 = h0 + c @ w["O"]
+    c_rows = c.reshape(-1, d)
+    h1 = h0[:, from_:].reshape(-1, d) + c_rows @ w["O"]
     n1, r1 = norm(h1)
-    z = n1 @ w["A"]
-    g = np.maximum(z, 0)
-    h2 = h1 + g @ w["B"]
-    n2, r2 = norm(h2)
-    rows = np.flatnonzero(use)
-    goal, share = y.ravel()[rows], np.float32(1 / max(len(rows), 1))
+    g = n1 @ w["A"]
+    np.maximum(g, 0, out=g)
+    n2, r2 = norm(h1 + g @ w["B"])
+    rows = np.flatnonzero(flat_use)
+    goal, share = y[:, from_:].ravel()[rows], np.float32(1 / max(len(rows), 1))
     order, edge = by_group(goal // SLOTS)
     rows, goal = rows[order], goal[order]  # rows of a group together
-    flat, group, slot = n2.reshape(-1, d)[rows], goal // SLOTS, goal % SLOTS
+    flat, group, slot = n2[rows], goal // SLOTS, goal % SLOTS
     row = np.arange(len(flat))
     p = flat @ w["U"] + w["u"]
-    p -= p.max(-1, keepdims=True)
-    np.exp(p, out=p)
-    p /= p.sum(-1, keepdims=True)
+    exp_of(p)
+    p /= np.einsum("ij->i", p)[:, None]
     loss = -float(np.log(p[row, group]).sum(dtype=np.float64) * share)
     p[row, group] -= 1
     p *= share
     grad = {"u": p.sum(0), "U": flat.T @ p, "L": np.zeros_like(w["L"]), "l": np.zeros_like(w["l"])}
     dused = p @ w["U"].T
-    for part in np.flatnonzero(np.diff(edge)):
+    t = w["l"][group]
+    parts = np.flatnonzero(np.diff(edge)).tolist()
+    edge = edge.tolist()
+    for part in parts:
+        at = slice(edge[part], edge[part + 1])
+        t[at] += flat[at] @ w["L"][part]
+    exp_of(t)
+    t /= np.einsum("ij->i", t)[:, None]
+    loss -= float(np.log(t[row, slot]).sum(dtype=np.float64) * share)
+    t[row, slot] -= 1
+    t *= share
+    for part in parts:
         at = slice(edge[part], edge[part + 1])
-        own = flat[at]
-        t = own @ w["L"][part] + w["l"][part]
-        t -= t.max(-1, keepdims=True)
-        np.exp(t, out=t)
-        t /= t.sum(-1, keepdims=True)
-        local, right = row[: len(own)], slot[at]
-        loss -= float(np.log(t[local, right]).sum(dtype=np.float64) * share)
-        t[local, right] -= 1
-        t *= share
-        grad["L"][part], grad["l"][part] = own.T @ t, t.sum(0)
-        dused[at] += t @ w["L"][part].T
-    dflat = np.zeros((n2.size // d, d), n2.dtype)
+        own = t[at]
+        np.matmul(flat[at].T, own, out=grad["L"][part])
+        dused[at] += own @ w["L"][part].T
+    grad["l"][parts] = np.add.reduceat(t, [edge[part] for part in parts], axis=0) if parts else 0
+    dflat = np.zeros((len(n2), d), n2.dtype)
     dflat[rows] = dused
-    dh2 = norm_back(dflat.reshape(n2.shape), n2, r2)
-    both = lambda a, b: a.reshape(-1, a.shape[-1]).T @ b.reshape(-1, b.shape[-1])
-    grad["B"] = both(g, dh2)
-    dz = (dh2 @ w["B"].T) * (z > 0)
-    grad["A"] = both(n1, dz)
+    dh2 = norm_back(dflat, n2, r2)
+    grad["B"] = g.T @ dh2
+    dz = dh2 @ w["B"].T
+    dz *= g > 0
+    grad["A"] = n1.T @ dz
     dh1 = dh2 + norm_back(dz @ w["A"].T, n1, r1)
-    grad["O"] = both(c, dh1)
-    dc = dh1 @ w["O"].T
+    grad["O"] = c_rows.T @ dh1
+    dc = (dh1 @ w["O"].T).reshape(c.shape)
     da = dc @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(-1, keepdims=True)) / np.float32(d**0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dn0 = dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T
-    for name, t in (("Q", dq), ("K", dk), ("V", dv)):
-        grad[name] = both(n0, t)
-    dh0 = dh1 + norm_back(dn0, n0, r0)
+    dv = (a.transpose(0, 2, 1) @ dc).reshape(-1, d)
+    da -= np.einsum("bid,bid->bi", dc, c)[..., None]  # the mean of da under a
+    da *= a
+    dq = (da @ k).reshape(-1, d)
+    dk = (da.transpose(0, 2, 1) @ q).reshape(-1, d)
+    dn0 = (dk @ w["K"].T + dv @ w["V"].T).reshape(n0.shape)
+    dn0[:, from_:] += (dq @ (w["Q"] / root).T).reshape(late.shape)
+    grad["Q"], grad["K"], grad["V"] = late.reshape(-1, d).T @ dq / root, all_rows.T @ dk, all_rows.T @ dv
+    dh0 = norm_back(dn0, n0, r0)
+    dh0[:, from_:] += dh1.reshape(late.shape)
     grad["P"] = dh0.sum(0)
     grad["E"] = np.zeros_like(w["E"])
     order = np.argsort(x.ravel(), kind="stable")
@@ -318,9 +342,18 @@ class Adam:
         t, first, second = self.t, self.first, self.second
         step = rate * min(1, t / self.warm)
         for n in self.w:
-            first[n] += 0.1 * (grad[n] - first[n])
-            second[n] += 0.02 * (grad[n] ** 2 - second[n])
-            self.w[n] -= (step * (first[n] / (1 - 0.9**t)) / (np.sqrt(second[n] / (1 - 0.98**t)) + 1e-8)).astype(np.float32)
+            g = grad[n]
+            first[n] += 0.1 * (g - first[n])
+            g *= g
+            g -= second[n]
+            g *= 0.02
+            second[n] += g
+            np.divide(second[n], 1 - 0.98**t, out=g)
+            np.sqrt(g, out=g)
+            g += 1e-8
+            np.divide(first[n], g, out=g)
+            g *= step / (1 - 0.9**t)
+            self.w[n] -= g
 
 
 def start(counts: np.ndarray, of: np.ndarray, rng: np.random.Generator) -> dict[str, np.ndarray]:

@@ -4,11 +4,10 @@ The model scores the lower-cased words, each encoded with a space before it and
 overlapping windows, every id once. Words are counted over all training documents, in tables; the counts
 and neighbourhoods of subword ids, which the model's leaves are made of, come from all counted words.
 
-One pass over all texts makes the ids, the base score and the windows to learn from, and writes them as a
-table. The words that stand at least as often as a threshold, HEAD_WORDS of them at most, go to all tasks
+One pass over all texts makes the ids and the base score, and writes them as a table. The words that stand at least as often as a threshold, HEAD_WORDS of them at most, go to all tasks
 (a bounded table); counts of all other words come by a join on the word. The network learns in ROUNDS
-rounds. Each takes its own part of the windows of all training documents by a hash, so together they take
-every window; of a small corpus a round takes more, up to WINDOWS and a SHARE of all. In a round every
+rounds. Each cuts its own part of the windows of all training documents from that table by a hash, so
+together they take every window; of a small corpus a round takes more, up to WINDOWS and a SHARE of all. In a round every
 task steps through PER_TASK windows or so and the tasks' weights are averaged, by part on the executors;
 the driver gets one set of weights a round. ``train_docs`` sampled documents may train the first weights
 on the driver (none by default).
@@ -210,8 +209,8 @@ def sample_sequences(docs: DataFrame, n: int, most: int, path: str) -> list[np.n
     return [np.frombuffer(x, "<u2").astype(np.int64) for x in found]
 
 
-def picked_windows(streams: list[np.ndarray], of: np.ndarray, share: float, rounds: int) -> list[list[bytes | None]]:
-    """For every round and sequence its windows of the round: leaves, and next leaves or -1, 16 bits each.
+def picked_windows(streams: list[np.ndarray], of: np.ndarray, share: float, rounds: int, only: int | None = None) -> list[list[bytes | None]]:
+    """For every round (or the ``only`` one) and sequence its windows of the round: leaves, and next leaves or -1, 16 bits each.
 
     A round takes those whose hash lies up to ``share`` behind its own even place, so a share over 1 / rounds
     leaves no window out.
@@ -224,7 +223,7 @@ def picked_windows(streams: list[np.ndarray], of: np.ndarray, share: float, roun
     for turn in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):  # two turns of a multiplicative hash
         h = (h ^ (h >> np.uint64(29))) * np.uint64(turn)
     u = (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
-    for k in range(rounds):
+    for k in range(rounds) if only is None else [only]:
         own = np.flatnonzero((u - k / rounds) % 1.0 < share)
         at = start[own, None] + lane
         goal = np.where(good[at], leaf[at + 1], -1)
@@ -235,6 +234,23 @@ def picked_windows(streams: list[np.ndarray], of: np.ndarray, share: float, roun
     return out
 
 
+def round_windows(texts: DataFrame, of: np.ndarray, share: float, rounds: int, k: int) -> DataFrame:
+    """The windows (w) of round k of each of texts (held_out, ids) that isn't held out and has any.
+
+    They take several times the room of the ids, so they are cut anew for every round, and not stored.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(of.astype(np.int16))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                streams = [np.frombuffer(r.as_buffer(), "<u2") for r in b.column(0)]
+                own = picked_windows(streams, shared.value, share, rounds, k)[0]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w in own if w], pa.binary())], ["w"])
+
+    return map_batches(texts.where(~F.col("held_out")).select("ids"), run, "w binary")
+
+
 def round_share(windows: int) -> float:
     """The share of all windows that a round takes: an even part or more, so that no window is left out."""
     return min(1.0, max(1 / ROUNDS + 1e-9, WINDOWS / windows + SHARE))
@@ -276,16 +292,14 @@ def average_round(windows: DataFrame, tasks: int, weights: dict[str, np.ndarray]
     return {n: part.reshape(weights[n].shape).copy() for n, part in zip(names, np.split(flat, ends[:-1]))}
 
 
-def read_texts(docs: DataFrame, path: str, known: dict[bytes, float], of: np.ndarray, share: float, rounds: int, end: tuple[int, float]) -> DataFrame:
-    """A row for each of docs (doc_id, held_out, text): its ids, the base score of its known words, its other
-    words, and its windows of each round (w0, w1, ...) unless it is held out. end: whether the end id is
-    known (0 or 1), and its base score."""
-    shared = docs.sparkSession.sparkContext.broadcast((known, of.astype(np.int16)))
+def read_texts(docs: DataFrame, path: str, known: dict[bytes, float], end: tuple[int, float]) -> DataFrame:
+    """A row for each of docs (doc_id, held_out, text): its ids, the base score of its known words and its other
+    words. end: whether the end id is known (0 or 1), and its base score."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = [f"w{k}" for k in range(rounds)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, of = shared.value
+        known = shared.value
         table, row = Words(path, known), TaskContext.get().partitionId() << 40
         for b in batches:
             words, ends = [], []
@@ -304,23 +318,17 @@ def read_texts(docs: DataFrame, path: str, known: dict[bytes, float], of: np.nda
             offsets = pa.array(np.searchsorted(pairs >> 32, np.arange(n + 1)), pa.int32())
             rare = pa.array([table.names[i] for i in (pairs & 0xFFFFFFFF).tolist()], pa.binary())
             streams = np.split(ids, stops[:-1])
-            free = np.flatnonzero(~b.column(1).to_numpy(zero_copy_only=False))
-            chosen = [[None] * n for _ in names]
-            if rounds and len(free):
-                for own, out in zip(picked_windows([streams[i] for i in free], of, share, rounds), chosen):
-                    for i, w in zip(free, own):
-                        out[i] = w
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), b.column(1), pa.array(np.arange(row, row + n)), pa.array(size + 1), pa.array(size - np.bincount(owner[other], minlength=n) + end[0]), pa.array(sums),
-                    pa.ListArray.from_arrays(offsets, rare), pa.ListArray.from_arrays(offsets, pa.array(times)), pa.array([s.astype("<u2").tobytes() for s in streams], pa.binary()), *[pa.array(c, pa.binary()) for c in chosen],
+                    pa.ListArray.from_arrays(offsets, rare), pa.ListArray.from_arrays(offsets, pa.array(times)), pa.array([s.astype("<u2").tobytes() for s in streams], pa.binary()),
                 ],
-                ["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "rare", "times", "ids", *names],
+                ["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "rare", "times", "ids"],
             )
             row += n
 
     schema = f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base_score double, rare array<binary>, times array<long>, ids binary"
-    return map_batches(docs, run, schema + "".join(f", {n} binary" for n in names))
+    return map_batches(docs, run, schema)
 
 
 def scored(texts: DataFrame, model: attention.Model) -> DataFrame:
@@ -365,9 +373,9 @@ def score(docs: DataFrame, held_out, tokenizer: str | None = None, train_docs: i
     windows = max(1, int(per_id.sum() / attention.SCORED) + n_train // 2)  # about
     rounds = ROUNDS if n_train else 0
     share = round_share(windows)
-    texts = store(read_texts(marked, path, known, model.of, share, rounds, (1 if n_train else 0, math.log10(n_train + 1) - bottom)), "lm-texts")
+    texts = store(read_texts(marked, path, known, (1 if n_train else 0, math.log10(n_train + 1) - bottom)), "lm-texts")
     for k in range(rounds):
-        own = texts.select(F.col(f"w{k}").alias("w")).where("w IS NOT NULL")
+        own = round_windows(texts, model.of, share, rounds, k)
         model.weights = average_round(own, max(1, round(share * windows / PER_TASK)), model.weights, RATE * (1 - k / rounds), 50 if k == 0 else 10)
     model.prepare()
     rare = texts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))

@@ -82,6 +82,23 @@ def test_rounds_learn_from_every_training_window():
         assert sorted(got) == sorted(whole[at : at + size] for at in range(0, len(whole), size))
 
 
+def test_windows_are_cut_for_each_round_and_none_is_stored_or_left_out(spark):
+    rng = np.random.default_rng(23)
+    rows = [(k, k % 3 == 0, " ".join(f"w{n}" for n in rng.integers(0, 500, 200 * (k % 4)))) for k in range(12)]
+    texts = lm_scoring.read_texts(spark.createDataFrame(rows, "doc_id long, held_out boolean, text string"), lm_scoring.rank_path(), {}, (1, 0.0))
+    assert texts.columns[-1] == "ids"
+    of, k = np.arange(lm_scoring.VOCAB) % attention.LEAVES, lm_scoring.ROUNDS
+    size, got, want = 2 * 2 * attention.WINDOW, [], []
+    for n in range(k):
+        for r in lm_scoring.round_windows(texts, of, lm_scoring.round_share(10**9), k, n).collect():
+            got += [bytes(r["w"][at : at + size]) for at in range(0, len(r["w"]), size)]
+    for _, held_out, text in rows:
+        if not held_out:
+            w = lm_scoring.picked_windows([lm_scoring.sequence(lm_scoring.split(text), lm_scoring.rank_path())], of, 1.0, 1)[0][0]
+            want += [w[at : at + size] for at in range(0, len(w), size)]
+    assert sorted(got) == sorted(want)
+
+
 def test_tiny_shares_still_pick_rows(spark):
     df = spark.range(200_000)
     assert 0 < df.where(common.hashed_share(1e-4, "id")).count() < 100
