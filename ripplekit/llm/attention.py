@@ -100,7 +100,10 @@ def norm(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def norm_back(dy: np.ndarray, y: np.ndarray, r: np.ndarray) -> np.ndarray:
-    return (dy - y * (np.einsum("...i,...i->...", dy, y)[..., None] / np.float32(y.shape[-1]))) / r
+    out = y * (np.einsum("...i,...i->...", dy, y)[..., None] / np.float32(y.shape[-1]))
+    np.subtract(dy, out, out=out)
+    out /= r
+    return out
 
 
 def new_weights(dim: int, hidden: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -120,7 +123,7 @@ def exp_of(logits: np.ndarray) -> None:
 def by_group(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order that brings rows of a group together, and where each group starts."""
     order = np.argsort(group.astype(np.uint8), kind="stable")
-    return order, np.searchsorted(group[order], np.arange(GROUPS + 1))
+    return order, np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))])
 
 
 def loss_and_gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -130,13 +133,15 @@ def loss_and_gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, u
     """
     d = w["Q"].shape[1]
     from_ = int(np.argmax(use.any(0)))
-    flat_use = use[:, from_:].ravel()
     root = np.float32(d**0.5)
-    h0 = w["E"][x] + w["P"]
+    h0 = w["E"].take(x, axis=0)
+    h0 += w["P"]
     n0, r0 = norm(h0)
     all_rows, late = n0.reshape(-1, d), np.ascontiguousarray(n0[:, from_:])
-    q = (late.reshape(-1, d) @ (w["Q"] / root)).reshape(late.shape)
-    k, v = (all_rows @ w["K"]).reshape(n0.shape), (all_rows @ w["V"]).reshape(n0.shape)
+    late_rows, query, key_value = late.reshape(-1, d), w["Q"] / root, np.hstack([w["K"], w["V"]])
+    q = (late_rows @ query).reshape(late.shape)
+    kv = (all_rows @ key_value).reshape(*x.shape, 2 * d)
+    k, v = kv[..., :d], kv[..., d:]
     a = q @ k.transpose(0, 2, 1)
     if max(-a.min(), a.max()) > 60:
         np.clip(a, -60, 60, out=a)
@@ -145,42 +150,50 @@ def loss_and_gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, u
     a /= np.einsum("bij->bi", a)[..., None]
     c = a @ v
     c_rows = c.reshape(-1, d)
-    h1 = h0[:, from_:].reshape(-1, d) + c_rows @ w["O"]
+    h1 = c_rows @ w["O"]
+    h1 += h0[:, from_:].reshape(-1, d)
     n1, r1 = norm(h1)
     g = n1 @ w["A"]
     np.maximum(g, 0, out=g)
-    n2, r2 = norm(h1 + g @ w["B"])
-    rows = np.flatnonzero(flat_use)
-    goal, share = y[:, from_:].ravel()[rows], np.float32(1 / max(len(rows), 1))
+    h2 = g @ w["B"]
+    h2 += h1
+    n2, r2 = norm(h2)
+    rows = np.flatnonzero(use[:, from_:])
+    goal, share = y[:, from_:].ravel().take(rows), np.float32(1 / max(len(rows), 1))
     order, edge = by_group(goal // SLOTS)
-    rows, goal = rows[order], goal[order]  # rows of a group together
-    flat, group, slot = n2[rows], goal // SLOTS, goal % SLOTS
-    row = np.arange(len(flat))
-    p = flat @ w["U"] + w["u"]
+    rows, goal = rows.take(order), goal.take(order).astype(np.int64)  # rows of a group together
+    flat, group = np.empty((len(rows), d + 1), n2.dtype), goal // SLOTS
+    flat[:, :d] = n2.take(rows, axis=0)
+    flat[:, d] = 1  # for the biases
+    at_group, at_slot = np.arange(len(flat)) * GROUPS + group, np.arange(len(flat)) * SLOTS + goal % SLOTS
+    p = flat @ np.vstack([w["U"], w["u"]])
     exp_of(p)
     p /= np.einsum("ij->i", p)[:, None]
-    loss = -float(np.log(p[row, group]).sum(dtype=np.float64) * share)
-    p[row, group] -= 1
+    loss = -float(np.log(p.take(at_group)).sum(dtype=np.float64) * share)
+    p.reshape(-1)[at_group] -= 1
     p *= share
-    grad = {"u": p.sum(0), "U": flat.T @ p, "L": np.zeros_like(w["L"]), "l": np.zeros_like(w["l"])}
+    outer = flat.T @ p
     dused = p @ w["U"].T
-    t = w["l"][group]
+    inner = np.concatenate([w["L"], w["l"][:, None]], axis=1)
+    back, dinner, t = w["L"].transpose(0, 2, 1), np.empty_like(dused), np.empty((len(flat), SLOTS), flat.dtype)
     parts = np.flatnonzero(np.diff(edge)).tolist()
-    edge = edge.tolist()
+    spans = [slice(*e) for e in zip(edge.tolist(), edge[1:].tolist())]
     for part in parts:
-        at = slice(edge[part], edge[part + 1])
-        t[at] += flat[at] @ w["L"][part]
+        at = spans[part]
+        np.matmul(flat[at], inner[part], out=t[at])
     exp_of(t)
     t /= np.einsum("ij->i", t)[:, None]
-    loss -= float(np.log(t[row, slot]).sum(dtype=np.float64) * share)
-    t[row, slot] -= 1
+    loss -= float(np.log(t.take(at_slot)).sum(dtype=np.float64) * share)
+    t.reshape(-1)[at_slot] -= 1
     t *= share
+    inner[:] = 0
     for part in parts:
-        at = slice(edge[part], edge[part + 1])
+        at = spans[part]
         own = t[at]
-        np.matmul(flat[at].T, own, out=grad["L"][part])
-        dused[at] += own @ w["L"][part].T
-    grad["l"][parts] = np.add.reduceat(t, [edge[part] for part in parts], axis=0) if parts else 0
+        np.matmul(flat[at].T, own, out=inner[part])
+        np.matmul(own, back[part], out=dinner[at])
+    dused += dinner
+    grad = {"U": outer[:d], "u": outer[d], "L": inner[:, :d], "l": inner[:, d]}
     dflat = np.zeros((len(n2), d), n2.dtype)
     dflat[rows] = dused
     dh2 = norm_back(dflat, n2, r2)
@@ -188,26 +201,31 @@ def loss_and_gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, u
     dz = dh2 @ w["B"].T
     dz *= g > 0
     grad["A"] = n1.T @ dz
-    dh1 = dh2 + norm_back(dz @ w["A"].T, n1, r1)
+    dh1 = norm_back(dz @ w["A"].T, n1, r1)
+    dh1 += dh2
     grad["O"] = c_rows.T @ dh1
     dc = (dh1 @ w["O"].T).reshape(c.shape)
     da = dc @ v.transpose(0, 2, 1)
-    dv = (a.transpose(0, 2, 1) @ dc).reshape(-1, d)
+    dkv = np.empty_like(kv)
+    np.matmul(a.transpose(0, 2, 1), dc, out=dkv[..., d:])
     da -= np.einsum("bid,bid->bi", dc, c)[..., None]  # the mean of da under a
     da *= a
     dq = (da @ k).reshape(-1, d)
-    dk = (da.transpose(0, 2, 1) @ q).reshape(-1, d)
-    dn0 = (dk @ w["K"].T + dv @ w["V"].T).reshape(n0.shape)
-    dn0[:, from_:] += (dq @ (w["Q"] / root).T).reshape(late.shape)
-    grad["Q"], grad["K"], grad["V"] = late.reshape(-1, d).T @ dq / root, all_rows.T @ dk, all_rows.T @ dv
+    np.matmul(da.transpose(0, 2, 1), q, out=dkv[..., :d])
+    dkv_rows = dkv.reshape(-1, 2 * d)
+    dn0 = (dkv_rows @ key_value.T).reshape(n0.shape)
+    dn0[:, from_:] += (dq @ query.T).reshape(late.shape)
+    both = all_rows.T @ dkv_rows
+    grad["Q"], grad["K"], grad["V"] = late_rows.T @ dq / root, both[:, :d], both[:, d:]
     dh0 = norm_back(dn0, n0, r0)
     dh0[:, from_:] += dh1.reshape(late.shape)
-    grad["P"] = dh0.sum(0)
+    grad["P"] = np.einsum("bij->ij", dh0)
     grad["E"] = np.zeros_like(w["E"])
-    order = np.argsort(x.ravel(), kind="stable")
-    leaf = x.ravel()[order]
+    leaf = x.ravel().astype(np.int16)
+    order = np.argsort(leaf, kind="stable")
+    leaf = leaf.take(order)
     first = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
-    grad["E"][leaf[first]] = np.add.reduceat(dh0.reshape(-1, d)[order], first, axis=0)
+    grad["E"][leaf[first]] = np.add.reduceat(dh0.reshape(-1, d).take(order, axis=0), first, axis=0)
     return loss, grad
 
 
@@ -293,20 +311,20 @@ class Model:
         np.divide(h, np.sqrt(np.einsum("ij,ij->i", h, h) / d + EPS)[:, None], out=last[:, :d])
         last[:, d] = 1
         h = last
-        goal = y.ravel()
+        goal = y.ravel().astype(np.int64)
         group, slot = goal // SLOTS, goal % SLOTS
         row = np.arange(len(h))
         logit = h @ self.group_out
-        out = logit[row, group]
+        out = logit.take(row * GROUPS + group)
         self.exp(logit)
         out -= np.log(np.einsum("ij->i", logit))
         order, edge = by_group(group)
-        h = h[order]
+        h = h.take(order, axis=0)
         inner = np.empty((len(h), SLOTS), np.float32)
         for k in np.flatnonzero(np.diff(edge)):
             at = slice(edge[k], edge[k + 1])
             np.matmul(h[at], self.slot_out[k], out=inner[at])
-        picked = inner[row, slot[order]]
+        picked = inner.take(row * SLOTS + slot.take(order))
         self.exp(inner)
         picked -= np.log(np.einsum("ij->i", inner))
         out[order] += picked
@@ -317,43 +335,52 @@ class Model:
             np.minimum(x, 80, out=x)
         np.exp(x, out=x)
 
-    def score(self, streams: list[np.ndarray], block: int = 128) -> np.ndarray:
+    def score(self, streams: list[np.ndarray], block: int = 256) -> np.ndarray:
         """log10 probability of each sequence of ids (its end included)."""
         flat, good, start, owner = layout(streams, self.end)
-        leaf, out = self.of[flat], np.zeros(len(streams))
+        leaf, inside, out = self.of.take(flat), self.inside.take(flat), np.zeros(len(streams))
         for b in range(0, len(start), block):
             at = start[b : b + block, None] + np.arange(WINDOW)
             goal = at[:, CONTEXT:] + 1
-            logs = self.leaf_logs(leaf[at], leaf[goal]) + self.inside[flat[goal]]
-            out += np.bincount(owner[b : b + block], (logs * good[at[:, CONTEXT:]]).sum(1, dtype=np.float64), len(streams))
+            logs = self.leaf_logs(leaf.take(at), leaf.take(goal))
+            logs += inside.take(goal)
+            logs *= good.take(at[:, CONTEXT:])
+            own = owner[b : b + block]
+            out[own[0] : own[-1] + 1] += np.bincount(own - own[0], logs.sum(1, dtype=np.float64))
         return out / np.log(10)
 
 
 class Adam:
-    """Steps down the gradient that change the weights ``w`` in place; the first ``warm`` are shorter."""
+    """Steps down the gradient that change the weights ``w``, which become parts of one row; the first ``warm`` are shorter."""
 
     def __init__(self, w: dict[str, np.ndarray], warm: int = 50):
         self.w, self.t, self.warm = w, 0, warm
-        self.first, self.second = ({n: np.zeros_like(v) for n, v in w.items()} for _ in range(2))
+        self.row = np.concatenate([v.ravel() for v in w.values()])
+        self.slope, self.first, self.second = np.empty_like(self.row), np.zeros_like(self.row), np.zeros_like(self.row)
+        ends = np.cumsum([v.size for v in w.values()])[:-1]
+        for (n, v), part in zip(list(w.items()), np.split(self.row, ends)):
+            w[n] = part.reshape(v.shape)
 
     def step(self, x: np.ndarray, y: np.ndarray, use: np.ndarray, rate: float) -> None:
         _, grad = loss_and_gradients(self.w, x, y, use)
+        np.concatenate([grad[n].ravel() for n in self.w], out=self.slope)
         self.t += 1
-        t, first, second = self.t, self.first, self.second
-        step = rate * min(1, t / self.warm)
-        for n in self.w:
-            g = grad[n]
-            first[n] += 0.1 * (g - first[n])
+        t = self.t
+        size = 1 - 0.98**t
+        step, least = rate * min(1, t / self.warm) / (1 - 0.9**t) * size**0.5, 1e-8 * size**0.5
+        for k in range(0, len(self.row), 1 << 14):  # parts that stay in a CPU's cache
+            w, g, first, second = (v[k : k + (1 << 14)] for v in (self.row, self.slope, self.first, self.second))
+            first *= 0.9
+            first += 0.1 * g
+            second *= 0.98
             g *= g
-            g -= second[n]
             g *= 0.02
-            second[n] += g
-            np.divide(second[n], 1 - 0.98**t, out=g)
-            np.sqrt(g, out=g)
-            g += 1e-8
-            np.divide(first[n], g, out=g)
-            g *= step / (1 - 0.9**t)
-            self.w[n] -= g
+            second += g
+            np.sqrt(second, out=g)
+            g += least
+            np.divide(first, g, out=g)
+            g *= step
+            w -= g
 
 
 def start(counts: np.ndarray, of: np.ndarray, rng: np.random.Generator) -> dict[str, np.ndarray]:

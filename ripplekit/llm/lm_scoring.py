@@ -253,7 +253,7 @@ def round_windows(texts: DataFrame, of: np.ndarray, share: float, rounds: int, k
 
 def round_share(windows: int) -> float:
     """The share of all windows that a round takes: an even part or more, so that no window is left out."""
-    return min(1.0, max(1 / ROUNDS + 1e-9, WINDOWS / windows + SHARE))
+    return min(1.0, max(1 / max(1, ROUNDS) + 1e-9, WINDOWS / windows + SHARE))
 
 
 def average_round(windows: DataFrame, tasks: int, weights: dict[str, np.ndarray], rate: float, warm: int) -> dict[str, np.ndarray]:

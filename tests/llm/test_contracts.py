@@ -99,6 +99,25 @@ def test_windows_are_cut_for_each_round_and_none_is_stored_or_left_out(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_training_steps_on_weights_in_one_row_equal_plain_steps():
+    rng = np.random.default_rng(24)
+    plain = {n: v.astype(np.float64) for n, v in attention.new_weights(4, 5, rng).items()}
+    adam = attention.Adam({n: v.copy() for n, v in plain.items()}, warm=3)
+    first, second = ({n: np.zeros_like(v) for n, v in plain.items()} for _ in range(2))
+    for t in range(1, 7):
+        x, y = rng.integers(0, attention.LEAVES, (2, 3, attention.WINDOW))
+        use = rng.random(x.shape) < (0 if t == 4 else 0.4)
+        _, grad = attention.loss_and_gradients(plain, x, y, use)
+        for n, g in grad.items():
+            first[n] = 0.9 * first[n] + 0.1 * g
+            second[n] = 0.98 * second[n] + 0.02 * g**2
+            plain[n] = plain[n] - 0.01 * min(1, t / 3) * (first[n] / (1 - 0.9**t)) / (np.sqrt(second[n] / (1 - 0.98**t)) + 1e-8)
+        adam.step(x, y, use, 0.01)
+    assert list(adam.w) == list(plain) and all(np.shares_memory(v, adam.row) for v in adam.w.values())
+    for n, v in plain.items():
+        assert adam.w[n].shape == v.shape and np.allclose(adam.w[n], v, rtol=1e-6, atol=1e-8)
+
+
 def test_tiny_shares_still_pick_rows(spark):
     df = spark.range(200_000)
     assert 0 < df.where(common.hashed_share(1e-4, "id")).count() < 100
