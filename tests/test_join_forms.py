@@ -157,6 +157,25 @@ def test_linear_threshold_greedy_equals_a_plain_search(spark):
     assert [(r["node"], r["score"]) for r in K.general_greedy_lt(weighted, 3, 4).orderBy("rank").collect()] == want
 
 
+def test_linear_threshold_greedy_leaves_the_graph_to_the_tasks(spark, arcs, monkeypatch):
+    weighted = M.uniform_weights(arcs)
+    want = [tuple(r) for r in K.general_greedy_lt(weighted, 3, 4).orderBy("rank").collect()]
+    one = [D.linear_threshold(weighted, spark.createDataFrame([(n,) for _, n, _ in want[:k]], "node long"), 4).count() / 4 for k in (1, 2, 3)]
+    assert [score for _, _, score in want] == one
+
+    def refused(*_, **__):
+        raise AssertionError("the graph goes to the driver")
+
+    monkeypatch.setattr(type(arcs), "toPandas", refused)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refused)
+    monkeypatch.setattr(K, "BLOCK_NODES", 4)
+    monkeypatch.setattr(K, "PIECE_ARCS", 3)
+    weighted = weighted.unionByName(weighted.limit(1).selectExpr("src", "cast(null as bigint) dst", "w", "b"))
+    assert [tuple(r) for r in K.general_greedy_lt(weighted, 3, 4).orderBy("rank").collect()] == want
+    assert len(K.general_greedy_lt(weighted.where("src in (1, 2) and dst in (1, 2)"), 9, 2).collect()) <= 2
+    assert K.general_greedy_lt(weighted.limit(0), 3, 4).collect() == []
+
+
 def test_directed_harvest_equals_a_plain_scan(live):
     want: dict[int, float] = {}
     for world in range(3):

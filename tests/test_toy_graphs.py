@@ -293,3 +293,21 @@ def test_threshold_spreads_follow_only_what_is_added(monkeypatch):
     monkeypatch.setattr(kernels, "activate", lambda g, lack, lit, front, **most: followed.append(-int(lack.sum())) or note(g, lack, lit, front, **most) or followed.append(int(lack.sum())))
     assert kernels.threshold_spreads(path, np.ones(501, np.int64), np.array([400]), np.arange(501)).tolist() == [501 - v if v < 400 else 101 for v in range(501)]
     assert -sum(followed) == 100 + 400 * 401 // 2  # arcs: those of held once, and what each tried one adds
+
+
+def test_nested_spreads_equal_those_followed_one_by_one(monkeypatch):
+    rng = np.random.default_rng(13)
+    for _ in range(60):
+        n = int(rng.integers(5, 40))
+        pairs = np.unique(rng.integers(0, n, (4 * n, 2)), axis=0)
+        g = kernels.Arcs(*pairs.T, rng.integers(1, 400, len(pairs)))
+        need, held = rng.integers(1, rng.integers(200, 1200), g.n), rng.choice(g.n, rng.integers(0, 3), replace=False)
+        tried = rng.permutation(g.n)[: rng.integers(1, g.n + 1)]
+        want = kernels.threshold_spreads(g, need, held, tried).tolist()
+        for some, cells in ((0, 1), (1, 100), (3, 1 << 20), (512, 200)):
+            assert kernels.nested_spreads(g, need, held, tried, some, cells).tolist() == want
+    path, arcs = kernels.Arcs(np.arange(500), np.arange(1, 501), np.ones(500, np.int64)), []
+    note = kernels.follow
+    monkeypatch.setattr(kernels, "follow", lambda *a, **b: arcs.append(len((got := note(*a, **b))[0])) or got)
+    assert kernels.nested_spreads(path, np.ones(501, np.int64), np.array([], int), np.arange(501), 10).tolist() == list(range(501, 0, -1))
+    assert sum(arcs) < 25 * 500  # one by one: 125,250
